@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing
+from . import common, exact_dedup, mixing, near_dedup
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 NORM_SQL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -37,6 +37,10 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + (u < rate - floor(rate
 """
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_near_copies(common.table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(common.table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND poi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op6_exact_dedup": op6_exact_dedup}
+    return {"op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
