@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing, near_dedup
+from . import common, exact_dedup, mixing, near_dedup, secret_scan
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 NORM_SQL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -54,9 +54,58 @@ SELECT doc_id, keep_id, group_size, (doc_id IS NOT DISTINCT FROM keep_id AND poi
 """
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(common.table(spark, sf_dir, "documents"))
+    base, both = F.col("base"), F.array_sort(F.concat("base", "added"))
+    n = [secret_scan.count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *n, F.sha2(secret_scan.written_as(base), 256).alias("base_sha256"), secret_scan.written_as(both).alias("spans"))
+
+
+def _op9_sql() -> str:
+    """Places come from lengths of pieces and matches; windows are counted anew, not
+    incrementally, and joined to spans by gaps between their starts."""
+
+    def spans(kind: str, pattern: str, keep: str, group: int = 0) -> str:
+        own = f"regexp_extract_all(text, '{pattern}', {group})"
+        return f"""SELECT row, '{kind}' AS kind, gaps + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS start, m[i] AS hit, o[i] AS own FROM (
+          SELECT row, m, o, i, list_sum(list_transform(p[:i], lambda x: length(x))) AS gaps FROM (
+            SELECT row, m, o, p, unnest(range(1, len(m) + 1)) AS i FROM (
+              SELECT row, regexp_extract_all(text, '{pattern}') AS m, {own} AS o, regexp_split_to_array(text, '{pattern}') AS p FROM d) WHERE len(m) > 0)) WHERE {keep}"""
+
+    q = lambda x: x.replace("'", "''").replace("(?i:(", "(?i:(")
+    parts = [
+        spans("assign", q(secret_scan.ASSIGN), f"length(o[i]) >= {secret_scan.LEAST_ASSIGN}", 2),
+        spans("access", "AKIA[A-Z0-9]+", f"length(m[i]) >= {secret_scan.LEAST_ACCESS}"),
+        spans("hex", "[0-9a-f]+", f"length(m[i]) >= {secret_scan.LEAST_HEX}"),
+    ]
+    w, runs, ctes = secret_scan.WINDOW, [], []
+    for kind, (characters, least) in secret_scan.CLASSES.items():
+        run = secret_scan._class(characters)
+        allowed = " OR ".join(f"regexp_matches(m[i], '{q(a)}')" for a in secret_scan.ALLOWED)
+        ctes.append(f"{kind}_c AS ({spans(kind, f'{run}{{{w},}}', f'NOT ({allowed})')})")
+        ctes.append(f"""{kind}_w AS (SELECT row, kind, start, p, string_split(substr(hit, p, {w}), '') AS c FROM (SELECT *, unnest(range(1, length(hit) - {w} + 2)) AS p FROM {kind}_c))""")
+        ctes.append(f"""{kind}_h AS (SELECT row, kind, start, p FROM {kind}_w WHERE
+          list_sum(list_transform(list_distinct(c), lambda x: -(len(list_filter(c, lambda y: y = x)) / {w}) * log2(len(list_filter(c, lambda y: y = x)) / {w}))) >= {least} - 1e-9)""")
+        ctes.append(f"""{kind}_g AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY row, start ORDER BY p) <= {w} THEN 0 ELSE 1 END AS fresh FROM {kind}_h)""")
+        ctes.append(f"""{kind}_s AS (SELECT row, kind, start + min(p) - 1 AS a, start + max(p) - 1 + {w} AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY row, start ORDER BY p) AS g FROM {kind}_g) GROUP BY row, kind, start, g)""")
+        runs.append(f"SELECT row, kind, a, b FROM {kind}_s")
+    order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(secret_scan.KINDS))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT row, kind, start AS a, start + length(hit) AS b FROM ({" UNION ALL ".join(parts)})),
+{", ".join(ctes)},
+u AS (SELECT *, CASE kind {order} END AS place FROM (SELECT * FROM b UNION ALL {" UNION ALL ".join(runs)})),
+s AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(concat_ws(':', kind, a::BIGINT, b::BIGINT), ',' ORDER BY a, place, b) FILTER (place < 3) AS base,
+  string_agg(concat_ws(':', kind, a::BIGINT, b::BIGINT), ',' ORDER BY a, place, b) AS spans FROM u GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (row)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup}
+    return {"op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op9_secret_scan": op9_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op9_secret_scan": _op9_sql()}
