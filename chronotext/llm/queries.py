@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, fingerprints, mixing, near_dedup, secret_scan, token_table
+from . import common, exact_dedup, fingerprints, mixing, near_dedup, quality, secret_scan, token_table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 NORM_SQL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -64,6 +64,13 @@ def op8_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    trees = quality.learn(docs, common.table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, trees)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(common.table(spark, sf_dir, "documents"))
     base, both = F.col("base"), F.array_sort(F.concat("base", "added"))
@@ -114,7 +121,7 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_fingerprints": op7_fingerprints, "op8_token_table": op8_token_table, "op9_secret_scan": op9_secret_scan}
+    return {"op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_fingerprints": op7_fingerprints, "op8_token_table": op8_token_table, "op9_secret_scan": op9_secret_scan, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
