@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, fingerprints, mixing, near_dedup, quality, secret_scan, token_table
+from . import common, exact_dedup, fingerprints, mixing, near_dedup, quality, secret_scan, substring_dedup, token_table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 NORM_SQL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each removed run of repeats; the first occurrence of a passage isn't listed."""
+    return substring_dedup.find_repeats(common.table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(common.table(spark, sf_dir, "documents"))
     return p.select(F.col("id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -121,7 +126,7 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_fingerprints": op7_fingerprints, "op8_token_table": op8_token_table, "op9_secret_scan": op9_secret_scan, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_substring_dedup": op1_substring_dedup, "op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_fingerprints": op7_fingerprints, "op8_token_table": op8_token_table, "op9_secret_scan": op9_secret_scan, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:

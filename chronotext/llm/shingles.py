@@ -48,14 +48,9 @@ def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     return have[:n]
 
 
-def hashes(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes text by text, their number in each text) of the texts
-    data[offsets[i]:offsets[i + 1]], repeated shingles included."""
-    n_texts = len(offsets) - 1
-    data = data[offsets[0] : offsets[-1]]
-    at = offsets - offsets[0]
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(n_texts, np.int64)
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, last byte, hash) of each word of data, which holds texts that begin at
+    the offsets at."""
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -65,12 +60,26 @@ def hashes(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[n
     last[:-1] &= ~inside[1:] | first[1:]
     begin, end = np.flatnonzero(first), np.flatnonzero(last)
     if not len(begin):
-        return np.empty(0, np.uint64), np.zeros(n_texts, np.int64)
+        return begin, end, np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _power(_PLACE, len(data), "place"), out=sums[1:])
         words = (sums[end + 1] - sums[begin]) * _power(_PLACE_BACK, len(data), "back")[begin]
-        words = mixed(words + (end - begin + 1).astype(np.uint64) * _WORD)
+        return begin, end, mixed(words + (end - begin + 1).astype(np.uint64) * _WORD)
+
+
+def hashes(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes text by text, their number in each text) of the texts
+    data[offsets[i]:offsets[i + 1]], repeated shingles included."""
+    n_texts = len(offsets) - 1
+    data = data[offsets[0] : offsets[-1]]
+    at = offsets - offsets[0]
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(n_texts, np.int64)
+    begin, end, words = word_hashes(data, at)
+    if not len(begin):
+        return np.empty(0, np.uint64), np.zeros(n_texts, np.int64)
+    with np.errstate(over="ignore"):
         bounds = np.searchsorted(begin, at)
         counts = np.diff(bounds)
         whole = np.zeros(0, np.uint64)
