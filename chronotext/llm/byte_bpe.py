@@ -14,6 +14,8 @@ import os
 
 import numpy as np
 
+from .word_cache import WordCache
+
 #: Pieces that a process remembers before it starts anew (about 300 MB).
 REMEMBERED = 1_000_000
 
@@ -33,20 +35,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.spaced: dict[str, int] = {}  # piece after a space -> its number
+        self.spaced = WordCache()  # pieces after a space
         self.words: dict[str, list[int]] = {}  # pre-token -> ids
-        self.starts, self.flat, self.used, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0, 0
-
-    def _add(self, ids: list[int]) -> int:
-        if self.count + 2 > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.count += 1
-        self.starts[self.count] = self.used
-        return self.count - 1
 
     def _learn(self, pieces: list[str]) -> None:
         """Pieces neither empty nor with white space at an end, each after a space."""
@@ -56,14 +46,14 @@ class Encoder:
         for word, _ in self.whole.pre_tokenizer.pre_tokenize_str(" " + " ".join(pieces)):
             if word[0] == "Ġ":  # the space's sign; it can only begin a piece
                 if now is not None:
-                    self.spaced[pieces[at]] = self._add(now)
+                    self.spaced.add(pieces[at], now)
                 now, at = [], at + 1
             ids = words.get(word)
             if ids is None:
                 ids = words[word] = [t.id for t in tokenize(word)]
             now += ids
         if now is not None:
-            self.spaced[pieces[at]] = self._add(now)
+            self.spaced.add(pieces[at], now)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, uint32."""
@@ -71,7 +61,7 @@ class Encoder:
             return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
         if len(self.spaced) > REMEMBERED:
             self._forget()
-        get = self.spaced.get
+        get = self.spaced.number.get
         cut = [t.split(" ") for t in texts]
         numbers = [[get(p, -1) for p in pieces] for pieces in cut]
         lacking: set[str] = set()
@@ -91,11 +81,7 @@ class Encoder:
                 out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
             head = np.array(self.whole.encode(first, add_special_tokens=False).ids if first else [], np.uint32)
-            k = np.array(own[1:], np.int64)
-            begin, length = self.starts[k], self.starts[k + 1] - self.starts[k]
-            total = int(length.sum())
-            places = np.arange(total) + np.repeat(begin - (np.cumsum(length) - length), length)
-            out.append(np.concatenate((head, self.flat[places])))
+            out.append(np.concatenate((head, self.spaced.ids(own[1:]))))
         return out
 
 

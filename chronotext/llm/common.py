@@ -38,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spark_type(ddl: str):
+    """The type that a DDL string names, without a session."""
+    from pyspark.sql import types as T
+
+    plain = {"int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+    return T.ArrayType(spark_type(ddl[6:-1])) if ddl.startswith("array<") else plain[ddl]
+
+
 def text_of(col: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

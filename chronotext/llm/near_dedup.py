@@ -263,7 +263,8 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lacking = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
     if not lacking.isEmpty():
         sets = sets.unionByName(sets_of(lacking))
-    while not open_pairs.isEmpty():
+    tries = 1
+    while True:
         ends = open_pairs
         for end in ("a", "b"):
             ends = _labelled(ends.withColumn("node", F.col(end)), roots).withColumnRenamed("comp", f"comp_{end}").drop("node")
@@ -271,12 +272,13 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ends.isEmpty():
             break
         nearest = Window.partitionBy("a", "comp_b").orderBy("distance", "b")
-        ranked = ends.withColumn("place", F.row_number().over(nearest))
-        now = common.written(ranked.where("place = 1").select("a", "b"), "near-tried")
-        more = _confirmed(now, sets, percent)
-        links = common.written(links.unionByName(more), "near-links")
-        roots = components(links)
-        open_pairs = common.written(ends.select("a", "b", "distance").join(now, ["a", "b"], "left_anti"), "near-across")
+        ranked = common.written(ends.withColumn("place", F.row_number().over(nearest)), "near-ranked")
+        more = common.written(_confirmed(ranked.where(F.col("place") <= tries), sets, percent), "near-more")
+        if not more.isEmpty():
+            links = common.written(links.unionByName(more), "near-links")
+            roots = components(links)
+        open_pairs = ranked.where(F.col("place") > tries).select("a", "b", "distance")
+        tries *= 8  # few pairs are tried while components still grow, the rest soon after
     return rows, _labelled(classes.select("hi", "lo", "node"), roots)
 
 
