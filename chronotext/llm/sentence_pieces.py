@@ -32,6 +32,8 @@ MARK = "▁"
 #: Kinds of pieces in model files, and how far below the least score an unknown character is.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 PENALTY = 10.0
+#: Places of a double array that are tried at once.
+CHUNK = 1024
 #: Words that a process remembers before it starts anew.
 REMEMBERED = 1_000_000
 
@@ -111,14 +113,21 @@ def build_trie(words: dict[bytes, int]) -> Trie:
             while taken[free]:
                 free += 1
             b = max(1, free - int(own[0]))
-            while True:
-                if b + 256 >= len(taken):
-                    grow = len(taken)
+            while True:  # CHUNK places at a time
+                if b + CHUNK + 256 >= len(taken):
+                    grow = len(taken) + CHUNK
                     base, taken = np.concatenate((base, np.zeros(grow, np.int32))), np.concatenate((taken, np.zeros(grow, bool)))
                     check, piece = (np.concatenate((x, np.full(grow, -1, np.int32))) for x in (check, piece))
-                if not taken[b + own].any():
+                if len(own) == 1 and not taken[b + own[0]]:
                     break
-                b += 1
+                clash = taken[b + own[0] : b + own[0] + CHUNK].copy()
+                for c in own[1:].tolist():
+                    clash |= taken[b + c : b + c + CHUNK]
+                first = int(clash.argmin())
+                if not clash[first]:
+                    b += first
+                    break
+                b += CHUNK
             s = state[node]
             base[s] = b
             for c in own.tolist():
