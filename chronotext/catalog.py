@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronotext.plans import texts, timed
+
 FLAGSHIP = "passage_containment"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return texts.QUERIES | timed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return texts.SQL | timed.SQL
