@@ -44,7 +44,9 @@ def directory(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cell (leading MAX_DEPTH bits) -> bucket, depth; at most 2**MAX_DEPTH rows.
 
     A node of the tree of hash prefixes is a bucket if its records fit, or it can't be split
-    further, and those of its parent don't."""
+    further, and those of its parent don't. Nodes that fit are 2**(MAX_DEPTH + 1) at most,
+    about 2 MB, and broadcast: every cell has the tree's root, so a shuffle by node would
+    bring all cells to one task."""
     cells = index.groupBy(F.shiftrightunsigned("hash", 64 - MAX_DEPTH).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     levels = F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth")
     prefix = F.expr(f"shiftright(cell, {MAX_DEPTH} - depth)").alias("prefix")
@@ -53,7 +55,7 @@ def directory(index: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fits = nodes.where((F.col("records") <= capacity) | (F.col("depth") == MAX_DEPTH)).select("depth", "prefix")
     bucket = F.format_string("%02d-%05d", "depth", "prefix").alias("bucket")
     return (
-        paths.join(fits, ["depth", "prefix"])
+        paths.join(F.broadcast(fits), ["depth", "prefix"])
         .groupBy("cell")
         .agg(F.min(F.struct("depth", "prefix")).alias("leaf"))
         .select("cell", "leaf.*")
