@@ -107,7 +107,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
     ids = rows.select("id", (-F.col("id")).cast("double").alias("place"))
     ranges = int(min(MOST_RANGES, max(2, ids.count() // RANGE_ROWS)))
-    cuts = ids.select(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
+    cuts = ids.select(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or [0.0]  # no ids, one cut
     bounds = [-math.inf, *sorted(set(cuts)), math.inf]
     parted = Bucketizer(splits=bounds, inputCol="place", outputCol="bucket", handleInvalid="keep")
     part = F.coalesce("bucket", F.lit(len(bounds))).cast("int").alias("part")
@@ -156,5 +156,6 @@ COMPARED_NAMES = [c.split()[0] for c in COMPARED.split(", ")]
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each row's text and of its text edited with the next document, and
-    their likeness; see with_next for the order. A sole document is its own next one."""
+    their likeness; see with_next for the order. A sole document is its own next one; an
+    empty table gives no rows."""
     return with_next(docs, id_col, text_col).select("ghost", "id", "text").mapInArrow(_compare, COMPARED).withColumnRenamed("id", id_col)
