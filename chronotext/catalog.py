@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotext.plans import texts, timed
+from chronotext.plans import aligned, texts, timed
 
 FLAGSHIP = "passage_containment"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return texts.QUERIES | timed.QUERIES
+    return texts.QUERIES | timed.QUERIES | aligned.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return texts.SQL | timed.SQL
+    return texts.SQL | timed.SQL | aligned.SQL
