@@ -242,9 +242,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids as little-endian unsigned 32-bit) of all documents, read
-    from the shards, each by one task."""
+    from the shards, dealt to as many tasks as there are shards: the manifest is small, and
+    adaptive execution would else bring all of it to one task."""
     shards = manifest.select("path", "start")
-    return shards.repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(max(1, manifest.count()), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
