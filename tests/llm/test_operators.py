@@ -1,5 +1,6 @@
 """Small cases of the training-data operators against plain versions of them."""
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -132,6 +133,61 @@ def test_repeats(spark):
     assert substring_dedup.remove_repeats(df).columns == df.columns
 
 
+def repeats_by_force(rows):
+    """doc -> places of removed words, by plain sets of pieces seen so far."""
+    word = r"[^\x20\x09-\x0D]+"
+    low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    seen, out = {}, {}
+    for doc, text in sorted((d, t or "") for d, t in rows):
+        places = [(m.start(), low(m[0])) for m in re.finditer(word, text)]
+        gone = set()
+        for kind, ends in (("line", r"\n"), ("sentence", r"\n|(?<=[.!?])\x20")):
+            cuts = [m.start() for m in re.finditer(ends, text)]
+            pieces = {}
+            for i, (at, w) in enumerate(places):
+                pieces.setdefault(bisect.bisect_left(cuts, at), []).append(i)
+            run = []
+            for own in pieces.values():
+                again = not seen.setdefault((kind, tuple(places[i][1] for i in own)), (doc, own[0])) == (doc, own[0])
+                if kind == "line" and again:
+                    gone.update(own)
+                run = run + own if again else []
+                if kind == "sentence" and len(run) >= 25:
+                    gone.update(run)
+        for i in range(len(places) - 49):
+            parted = ["\n" in text[places[k][0] : places[k + 1][0]] for k in (i, i + 48)]
+            first = seen.setdefault(tuple(w for _, w in places[i : i + 50]), (doc, i, *parted))
+            if first[0] != doc or i >= first[1] + 50:
+                gone.update(range(i + (parted[0] != first[2]), i + 50 - (parted[1] != first[3])))
+        out[doc] = {places[i][0] for i in gone}
+    return out
+
+
+def held_to_force(df):
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    texts, got = dict(rows), {d: set() for d, _ in rows}
+    for r in substring_dedup.find_repeats(df).collect():
+        own = [r.start + m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[r.doc_id][r.start : r.stop])]
+        assert len(own) == r.words and not got[r.doc_id] & set(own)
+        got[r.doc_id] |= set(own)
+    assert got == repeats_by_force(rows)
+
+
+def test_repeats_cut_anywhere(spark):
+    passage = " ".join(f"shared{i}" + "." * (i % 17 == 9) for i in range(70))
+    own = lambda k, n: " ".join(f"own{k}_{i}" for i in range(n))
+    texts = [f"{own(1, 30)} {passage} {own(2, 9)}.", f"{own(3, 8)} {passage.upper()} {own(4, 8)}\nShort line\n{own(5, 4)}", f"{own(6, 4)}\nshort  line\n{own(7, 4)}", f"{own(8, 3)} {' '.join(passage.split()[7:58])} {own(9, 60)} {own(9, 60)}", f"{own(10, 20)} {' '.join(passage.split()[:49])} {own(11, 3)}", "again " * 160, own(2, 49), own(2, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held_to_force(df)
+    gone = {r.doc_id: texts[r.doc_id][r.start : r.stop] for r in substring_dedup.find_repeats(df).collect() if r.doc_id in (2, 3)}
+    assert gone[2] == "short  line"
+    assert substring_dedup.remove_repeats(df).where("doc_id = 2").head().text == f"{own(6, 4)}\n\n{own(7, 4)}"
+
+
+def test_repeats_by_force(spark):
+    held_to_force(common.table(spark, SF, "documents"))
+
+
 def test_quality_held_out(spark):
     got = queries.op10_quality_classifier(spark, "/root/testdata/sf0.01").join(common.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").collect()
     right = sum((r.score >= 0.5) == (r.quality == 1) for r in got) / len(got)
