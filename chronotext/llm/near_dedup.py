@@ -3,9 +3,9 @@
 1. Every text's set of word shingles gives a signature of PLACES symbols of 16 bits each
    (the low bits of its minimum under PLACES hash functions) and a digest of the set.
    Documents with equal sets form a class and go on as one.
-2. Signatures at a distance (number of unequal symbols) of at most RADIUS are wanted. They
-   are split into CHUNKS chunks; by the pigeonhole principle such a pair has a chunk with at
-   most RADIUS // CHUNKS = 1 unequal symbols. So each chunk gives a key for each of its
+2. Signatures at a distance (number of unequal symbols) of at most a radius are wanted. They
+   are split into radius // 2 + 1 chunks; by the pigeonhole principle such a pair has a chunk
+   with at most one unequal symbol. So each chunk gives a key for each of its
    symbols left out, PLACES keys in all, and every such pair meets under some key.
 3. Within a key, members are compared by signature in blocks of a bounded size. First each
    member yields one partner at most; these pairs are confirmed on full sets and joined
@@ -13,13 +13,16 @@
    pairs across components, which are confirmed too, nearest first, until none is left.
    So a group of near copies never gives all its pairs, and no link across is missed.
 
-At a similarity of 0.85 the distance is binomial with mean 9.6 and a chance of about 1e-5 to
-exceed RADIUS; everything else is exact. Only keys, signatures and candidates' sets are
+The radius follows from percent: at just that similarity the distance is binomial and exceeds
+it with a chance of at most MISSED (23 of 64 for 85 percent, 28 for 80); everything else is
+exact. Only keys, signatures and candidates' sets are
 shuffled; texts are shuffled once, to bring candidates' texts to their class.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import common, shingles
 from .components import components
 
-PLACES, CHUNKS, RADIUS = 64, 12, 23
+PLACES, MISSED = 64, 1e-5
 #: Members of a key are compared in blocks of at most this many.
 BLOCK = 4096
 
@@ -40,7 +43,14 @@ _XOR = _rng.integers(0, 2**64, PLACES, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(0, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = _rng.integers(0, 2**64, PLACES, dtype=np.uint64)
-_CHUNK = np.sort(np.arange(PLACES) % CHUNKS)
+
+
+@functools.cache
+def radius_of(percent: int) -> int:
+    """The least distance that a pair at this similarity exceeds with a chance of at most MISSED."""
+    p = percent / 100
+    chance = [math.comb(PLACES, k) * (1 - p) ** k * p ** (PLACES - k) for k in range(PLACES + 1)]
+    return next(r for r in range(PLACES + 1) if math.fsum(chance[r + 1 :]) <= MISSED)
 
 
 def signature(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -54,12 +64,14 @@ def signature(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys_of(sig: np.ndarray) -> np.ndarray:
+def keys_of(sig: np.ndarray, radius: int) -> np.ndarray:
     """PLACES keys for each signature: a chunk without one of its symbols."""
+    chunks = radius // 2 + 1
+    chunk = np.sort(np.arange(PLACES) % chunks)
     with np.errstate(over="ignore"):
         own = (sig.astype(np.uint64) + np.uint64(1)) * _SPREAD
-        sums = np.stack([own[:, _CHUNK == c].sum(axis=1, dtype=np.uint64) for c in range(CHUNKS)], axis=1)
-        return shingles.mixed(sums[:, _CHUNK] - own + _SALT)
+        sums = np.stack([own[:, chunk == c].sum(axis=1, dtype=np.uint64) for c in range(chunks)], axis=1)
+        return shingles.mixed(sums[:, chunk] - own + _SALT)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +103,15 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(_sign, kind)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
-            yield pa.RecordBatch.from_arrays([pa.array(keys_of(sig).view(np.int64).ravel()), pa.array(np.repeat(part.column("node").to_numpy(), PLACES))], ["key", "node"])
+def _keys(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(sig, radius).view(np.int64).ravel()), pa.array(np.repeat(part.column("node").to_numpy(), PLACES))], ["key", "node"])
+
+    return run
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,7 +135,7 @@ def _partners(node, sig, size, comp, percent):
         if len(left) < 2 or not len(fresh):
             break
         d = _apart(sig[fresh[:1]], sig[left])[0]
-        near = (d <= RADIUS) & _sizes_allow(size[fresh[0]], size[left], percent) & (left != fresh[0])
+        near = (d <= radius_of(percent)) & _sizes_allow(size[fresh[0]], size[left], percent) & (left != fresh[0])
         tried[fresh[0]] = True
         if near.any():
             yield node[left[near]], np.full(near.sum(), node[fresh[0]]), d[near]
@@ -134,7 +149,7 @@ def _partners(node, sig, size, comp, percent):
         d[np.arange(len(own)), own] = 255
         best = d.argmin(axis=1)
         least = d[np.arange(len(own)), best]
-        if (ok := least <= RADIUS).any():
+        if (ok := least <= radius_of(percent)).any():
             yield node[own[ok]], node[best[ok]], least[ok]
 
 
@@ -142,7 +157,7 @@ def _across(node, sig, size, comp, percent):
     """(a, b, distance) for members of one key: all pairs across components."""
     for i in range(0, len(node), 256):
         d = _apart(sig[i : i + 256], sig)
-        ok = (d <= RADIUS) & (comp[i : i + 256, None] != comp[None, :]) & (node[i : i + 256, None] < node[None, :])
+        ok = (d <= radius_of(percent)) & (comp[i : i + 256, None] != comp[None, :]) & (node[i : i + 256, None] < node[None, :])
         ok &= _sizes_allow(size[i : i + 256, None], size[None, :], percent)
         x, y = np.nonzero(ok)
         if len(x):
@@ -236,7 +251,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = signed.drop("sig")
     once = signed.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = common.written(once.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    keys = classes.select("node", "sig").mapInArrow(_keys, "key long, node long")
+    keys = classes.select("node", "sig").mapInArrow(_keys(radius_of(percent)), "key long, node long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = common.written(keys.join(shared, "key"), "near-members")
     info = classes.select("node", "n_shingles", "sig")

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from compare import difference
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def shingled(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def near_by_force(rows):
+def near_by_force(rows, percent=85):
     sets = [shingled(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -41,7 +42,7 @@ def near_by_force(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
@@ -62,6 +63,29 @@ def test_near_copies_by_force(spark):
     assert {r.doc_id for r in near_dedup.drop_near_copies(d).collect()} == {k for k, v in want.items() if v[1] == k}
 
 
+def test_near_radius():
+    assert (near_dedup.radius_of(85), near_dedup.radius_of(80)) == (23, 28)
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**16, (300, 64), dtype=np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(64, 28, replace=False)] ^= 1
+    assert (near_dedup.keys_of(a, 28) == near_dedup.keys_of(b, 28)).any(axis=1).all()
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words)] + [" ".join(w if i % 200 not in gone else f"x{k}_{i}" for i, w in enumerate(words)) for k, gone in enumerate(({40, 90, 140, 160}, {30, 60, 90, 120, 150}, set(range(180, 200)), set(range(176, 200))))]
+    own = [(10**9 + i, t) for i, t in enumerate(texts)]
+    docs = common.table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+    rows = [tuple(r) for r in docs.collect()]
+    want = {k for k, v in near_by_force(rows, 80).items() if v[1] == k}
+    assert want < {k for k, v in near_by_force(rows).items() if v[1] == k}
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, SF).collect()} == want
+
+
 def test_near_edge_cases(spark, docs):
     got = {(r.doc_id, r.n_shingles, r.kept) for r in near_dedup.find_near_copies(docs).collect()}
     assert {(3, 0, True), (4, 0, True), (5, 981, True)} <= {(a, b, c) if a != 5 else (5, 981, c) for a, b, c in got}
