@@ -6,11 +6,13 @@ is the turn's span. An output that doesn't begin with the one before rewrites hi
 turns are marked. A text's place within its span comes from rendering the same prefix with a
 probe character for the text.
 
-Prefixes are rendered within a window of the latest turns, so work and memory don't grow with
-a conversation's length: after WINDOW turns the prefix starts anew with the last CONTEXT ones.
-Turns are dealt by conversation once and stream through a task in order; a conversation is
-never held whole. A digest over a conversation is sequential by its nature, so one task
-streams even a very long one; nothing but the current window is in its memory.
+Every prefix is rendered whole, so work grows with the square of a conversation's length and
+its turns so far are in memory. A template whose rendering of a turn depends on that turn
+alone may say so by an attribute ``stateless = True``, as ``marked_turns`` does; its prefixes
+are rendered within a window of the latest turns: after WINDOW turns the prefix starts anew
+with the last CONTEXT ones. Turns are dealt by conversation once and stream through a task in
+order. A digest over a conversation is sequential by its nature, so one task streams even a
+very long one; for a stateless template nothing but the current window is in its memory.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ def marked_turns(turns: list[tuple[str, str]]) -> str:
     return "".join(BEGIN + escape(role).replace("\n", "\\n") + "\n" + escape(text) + END + "\n" for role, text in turns)
 
 
+marked_turns.stateless = True
+
+
 def read_turns(formatted: str) -> list[tuple[str, str]]:
     """The turns that marked_turns wrote."""
     found, at = [], 0
@@ -67,11 +72,12 @@ class Renderer:
     def __init__(self, template: Template):
         self.template, self.turns = template, []
         self.before = template([])
+        self.stateless = getattr(template, "stateless", False)
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """(span, start and stop of the text in it, whether history was rewritten). Where it
         was, the span begins at the first difference and has no place for the text."""
-        if len(self.turns) >= WINDOW:
+        if self.stateless and len(self.turns) >= WINDOW:
             self.turns = self.turns[-CONTEXT:]
             self.before = self.template(self.turns)
         probed = self.template([*self.turns, (role, PROBE)])

@@ -133,6 +133,19 @@ def test_chat_round_trip_and_rewriting(spark):
     assert chat_format.format_turns(df.where("false")).count() == 0
 
 
+def test_chat_template_sees_whole_history(spark):
+    turns = [("system", "s")] + [("user" if i % 2 else "assistant", f"t{i}") for i in range(1, 30)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+
+    def late(turns):
+        """Numbers its turns, names the first role, and leaves out turn 0's text from turn 12 on."""
+        return "".join(f"{turns[0][0]}{i}:{'-' if i == 0 and len(turns) > 12 else t};" for i, (r, t) in enumerate(turns))
+
+    got = chat_format.format_turns(df, late).orderBy("turn").collect()
+    assert [r.turn for r in got if r.rewrites] == [12]
+    assert [r.span for r in got if not r.rewrites] == [f"system{i}:{t};" for i, (_, t) in enumerate(turns) if i != 12]
+
+
 def test_token_table(spark, docs):
     from tokenizers import Tokenizer
 
