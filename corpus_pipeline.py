@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from chronotext.llm import common, exact_dedup, mixing, near_dedup, quality, sentence_pieces
 
-#: The trees, the hash join of signatures and Viterbi paths have no SQL form; tests/llm holds
-#: the stages against plain versions.
+#: The trees, the hash join of signatures and Viterbi paths have no SQL form; of the stages
+#: tests/llm holds near_dedup's kept ids against a plain version, the others' are not checked.
 ORACLE_SQL = None
 
 
