@@ -18,14 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or
-    one of our own where that is unset (tests, single machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where
+    that is unset, one of our own on a single machine, and on a cluster the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = "file://" + tempfile.mkdtemp(prefix="chronotext-")
+        spark.sparkContext.setCheckpointDir(base)
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="chronotext-")
-            spark.sparkContext.setCheckpointDir(base)
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/chronotext-scratch"
     return base.rstrip("/")
 
 
@@ -35,7 +35,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "written_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spark_type(ddl: str):

@@ -7,16 +7,19 @@
    are split into radius // 2 + 1 chunks; by the pigeonhole principle such a pair has a chunk
    with at most one unequal symbol. So each chunk gives a key for each of its
    symbols left out, PLACES keys in all, and every such pair meets under some key.
-3. Within a key, members are compared by signature in blocks of a bounded size. First each
-   member yields one partner at most; these pairs are confirmed on full sets and joined
-   to components. Then only keys that still hold several components are searched for all
-   pairs across components, which are confirmed too, nearest first, until none is left.
-   So a group of near copies never gives all its pairs, and no link across is missed.
+3. Keys of many members come first: within blocks of a bounded size each member yields its
+   nearest partner; these pairs are confirmed on full sets and joined to components, and in
+   keys beyond one block one member of each component goes on to a further round.
+4. Then all keys that still hold several components are searched for pairs across them. A
+   pair is owned by the lowest key that it shares, and only the members of owned pairs go
+   on, with their full sets, to the task that owns the key. It confirms pairs on these sets,
+   joins what is linked at once, and gives one link for each join: fewer than it has members.
+   So no key gives all its pairs, and no link that joins two components is missed.
 
 The radius follows from percent: at just that similarity the distance is binomial and exceeds
 it with a chance of at most MISSED (23 of 64 for 85 percent, 28 for 80); everything else is
 exact. Only keys, signatures and candidates' sets are
-shuffled; texts are shuffled once, to bring candidates' texts to their class.
+shuffled; a text is shuffled once at most, to bring it to its class if that is a candidate.
 """
 
 from __future__ import annotations
@@ -27,16 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import common, shingles
 from .components import components
 
 PLACES, MISSED = 64, 1e-5
-#: Members of a key are compared in blocks of at most this many.
-BLOCK = 4096
+#: Members of a key are compared in blocks of about this many at most; a member of SHINGLES
+#: shingles counts as two, so a block's sets are bounded too.
+BLOCK, SHINGLES = 4096, 512
+#: Keys of more members are first joined to components by nearest partners.
+MANY = 128
+#: Pairs that are compared at once.
+PAIRS = 1 << 16
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**64, PLACES, dtype=np.uint64)
@@ -53,6 +61,11 @@ def radius_of(percent: int) -> int:
     return next(r for r in range(PLACES + 1) if math.fsum(chance[r + 1 :]) <= MISSED)
 
 
+def chunk_starts(radius: int) -> np.ndarray:
+    """The first place of each chunk."""
+    return np.flatnonzero(np.diff(np.sort(np.arange(PLACES) % (radius // 2 + 1)), prepend=-1))
+
+
 def signature(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A row of PLACES uint16 for each text with shingles; counts are all positive."""
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -94,12 +107,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(size), pa.array(hi), pa.array(lo), pa.array(sigs, pa.binary())], ["id", "text_key", "n_shingles", "hi", "lo", "sig"])
 
 
+def text_key(text: Column) -> Column:
+    """A digest of 128 bits that tells texts apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_key, n_shingles, digest (hi, lo) and signature of each row."""
     text = common.text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    long = [StructField(c, LongType()) for c in ("text_key", "n_shingles", "hi", "lo")]
-    kind = StructType([StructField("id", rows.schema["id"].dataType), *long]).add("sig", "binary")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("text_key"), text.alias("text"))
+    long = [StructField(c, LongType()) for c in ("n_shingles", "hi", "lo")]
+    kind = StructType([StructField("id", rows.schema["id"].dataType), StructField("text_key", BinaryType()), *long]).add("sig", "binary")
     return rows.mapInArrow(_sign, kind)
 
 
@@ -108,12 +126,17 @@ def _keys(radius: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
-                yield pa.RecordBatch.from_arrays([pa.array(keys_of(sig, radius).view(np.int64).ravel()), pa.array(np.repeat(part.column("node").to_numpy(), PLACES))], ["key", "node"])
+                keys = keys_of(_signatures(part.column("sig")), radius)
+                place = np.tile(np.arange(PLACES, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(place), pa.array(np.repeat(part.column("node").to_numpy(), PLACES))], ["key", "place", "node"])
 
     return run
 
 
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PLACES)
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of a to all rows of b."""
     out = np.zeros((len(a), len(b)), np.uint8)
@@ -126,7 +149,7 @@ def _sizes_allow(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def _partners(node, sig, size, comp, percent):
+def _partners(node, sig, size, percent):
     """(a, b, distance) for members of one key: a partner for each member that has one."""
     free, tried = np.ones(len(node), bool), np.zeros(len(node), bool)
     for _ in range(16):  # groups of near copies end here, after few leaders
@@ -153,57 +176,132 @@ def _partners(node, sig, size, comp, percent):
             yield node[own[ok]], node[best[ok]], least[ok]
 
 
-def _across(node, sig, size, comp, percent):
-    """(a, b, distance) for members of one key: all pairs across components."""
-    for i in range(0, len(node), 256):
-        d = _apart(sig[i : i + 256], sig)
-        ok = (d <= radius_of(percent)) & (comp[i : i + 256, None] != comp[None, :]) & (node[i : i + 256, None] < node[None, :])
-        ok &= _sizes_allow(size[i : i + 256, None], size[None, :], percent)
-        x, y = np.nonzero(ok)
-        if len(x):
-            yield node[i + x], node[y], d[x, y]
-
-
-def _search(how, percent):
-    """Compares members key by key; rows come sorted, and a key may span batches."""
+def _by_group(work, held_bytes: int = 1 << 24):
+    """A function of batches that calls work with tables of whole (key, part) groups and
+    their bounds; rows come sorted, and a group may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def work(table: pa.Table, last: bool):
+        def whole(table: pa.Table, last: bool):
             group = np.stack([table.column(c).to_numpy() for c in ("key", "part")], axis=1)
             cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
             stop = table.num_rows if last else (int(cuts[-1]) if len(cuts) else 0)
-            rest = table.slice(stop).to_batches()
+            held[:] = table.slice(stop).to_batches()
             if stop:
-                node, size, comp = (table.column(c).to_numpy()[:stop] for c in ("node", "n_shingles", "comp"))
-                sig = np.frombuffer(b"".join(table.column("sig").to_pylist()[:stop]), np.uint16).reshape(-1, PLACES)
-                bounds = [0, *cuts[cuts < stop].tolist(), stop]
-                found = [x for a, b in zip(bounds, bounds[1:]) if b - a > 1 for x in how(node[a:b], sig[a:b], size[a:b], comp[a:b], percent)]
-                if found:
-                    a, b, d = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in range(3))
-                    yield from pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "distance"]).to_batches(10_000)
-            held[:] = rest
+                yield from work(table.slice(0, stop), np.concatenate(([0], cuts[cuts < stop], [stop])))
 
         for batch in batches:
             held.append(batch)
-            if sum(x.num_rows for x in held) >= 8192:
-                yield from work(pa.Table.from_batches(held), False)
+            if sum(x.nbytes for x in held) >= held_bytes:
+                yield from whole(pa.Table.from_batches(held), False)
         if held:
-            yield from work(pa.Table.from_batches(held), True)
+            yield from whole(pa.Table.from_batches(held), True)
 
     return run
 
 
-def _searched(members: DataFrame, how, percent: int) -> DataFrame:
-    """members (key, members, node, comp, sig, n_shingles) -> candidate pairs. A key with more
-    members than BLOCK is cut into blocks, and every pair of blocks is a group of its own."""
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("long")
-    block = F.pmod(F.xxhash64("node"), blocks)
-    others = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    part = F.transform(others, lambda o: F.least(o, block) * blocks + F.greatest(o, block))
-    rows = members.select("key", F.explode(part).alias("part"), "node", "comp", "n_shingles", "sig")
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_search(how, percent), "a long, b long, distance long")
+def _nearest(percent: int):
+    """(a, b, distance): for each group's members the nearest partner found."""
+
+    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, size, sig = table.column("node").to_numpy(), table.column("n_shingles").to_numpy(), _signatures(table.column("sig"))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if b - a > 1 and (found := list(_partners(node[a:b], sig[a:b], size[a:b], percent))):
+                cols = [np.concatenate([x[k] for x in found]).astype(np.int64) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "distance"])
+
+    return _by_group(work)
+
+
+def _pairs(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows x < y of each group, about PAIRS at once."""
+    n = int(bounds[-1])
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    count = ends - np.arange(n) - 1
+    upto = np.concatenate(([0], np.cumsum(count)))
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+        x = np.repeat(np.arange(at, stop), count[at:stop])
+        yield x, x + 1 + np.arange(len(x)) - (upto[x] - upto[at])
+        at = stop
+
+
+def _owned(percent: int):
+    """The members (key, part, node, comp, n_shingles) of pairs across components that lie
+    within the radius and share no lower key."""
+    radius = radius_of(percent)
+    starts = chunk_starts(radius)
+
+    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size, comp, place = (table.column(c).to_numpy() for c in ("n_shingles", "comp", "place"))
+        sig, wanted = _signatures(table.column("sig")), np.zeros(table.num_rows, bool)
+        for x, y in _pairs(bounds):
+            ok = (comp[x] != comp[y]) & _sizes_allow(size[x], size[y], percent) & ~(wanted[x] & wanted[y])
+            x, y = x[ok], y[ok]
+            other = sig[x] != sig[y]
+            ok = other.sum(axis=1) <= radius
+            x, y, other = x[ok], y[ok], other[ok]
+            if not len(x):
+                continue
+            apart = np.add.reduceat(other, starts, axis=1, dtype=np.uint8)
+            chunk = (apart <= 1).argmax(axis=1)  # the first chunk that gives a shared key
+            begin = starts[chunk]
+            within = np.where(np.arange(PLACES) >= begin[:, None], other, False).argmax(axis=1)
+            ok = place[x] == np.where(apart[np.arange(len(x)), chunk] == 0, begin, within)
+            wanted[x[ok]] = wanted[y[ok]] = True
+        if wanted.any():
+            yield from table.select(["key", "part", "node", "comp", "n_shingles"]).filter(pa.array(wanted)).combine_chunks().to_batches(10_000)
+
+    return _by_group(work)
+
+
+def _joins(percent: int):
+    """(a, b): links between members of a group, on full sets, that join components."""
+
+    def work(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        own = table.column("own").combine_chunks()
+        own = own if isinstance(own, pa.Array) else pa.concat_arrays(own.chunks)
+        a, b = [], []
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            for x, y in linked([np.frombuffer(own[k].as_buffer(), np.uint64) for k in range(i, j)], comp[i:j], percent):
+                a.append(node[i + x])
+                b.append(node[i + y])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
+
+    return _by_group(work, 1 << 25)
+
+
+def linked(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (x, y) of similar sets that join components, fewer than there are sets.
+
+    Each set marks its hashes once and is counted against all others at once that it may
+    still be joined with."""
+    _, part = np.unique(comp, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    starts = np.concatenate(([0], np.cumsum(size)))
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, out = np.zeros(len(values), bool), []
+    for x in range(len(sets) - 1):
+        rest = np.arange(x + 1, len(sets))
+        rest = rest[(part[rest] != part[x]) & _sizes_allow(size[x], size[rest], percent)]
+        if not len(rest):
+            continue
+        own = code[starts[x] : starts[x + 1]]
+        mark[own] = True
+        if len(rest) * 2 > len(sets) - x:
+            both = np.add.reduceat(mark[code[starts[x + 1] :]], starts[x + 1 : -1] - starts[x + 1], dtype=np.int64)[rest - x - 1]
+        else:
+            both = np.array([np.count_nonzero(mark[code[starts[y] : starts[y + 1]]]) for y in rest])
+        mark[own] = False
+        for y in rest[100 * both >= percent * (size[x] + size[rest] - both)].tolist():
+            if part[y] != part[x]:
+                out.append((x, y))
+                part[part == part[y]] = part[x]
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +342,28 @@ def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows (key, comp, node, n_shingles, ...) with part, the groups that they are compared
+    in. Of the component with most members in a key (the major one) no two are compared, so
+    its blocks meet the blocks of all other members, and these meet each other. A key that
+    fits one block is one group."""
+    weight = F.sum(1 + F.col("n_shingles") / SHINGLES)
+    of_comp = rows.groupBy("key", "comp").agg(weight.alias("weight"))
+    most = F.max(F.struct("weight", "comp"))
+    keys = of_comp.groupBy("key").agg(most.alias("most"), F.sum("weight").alias("all")).where("all > most.weight")
+    blocks = lambda x: F.greatest(F.ceil(x / BLOCK), F.lit(1)).cast("long")
+    fits = F.col("all") <= BLOCK
+    keys = keys.select("key", F.col("most.comp").alias("major"), F.when(fits, 1).otherwise(blocks(F.col("most.weight"))).alias("nb"), F.when(fits, 1).otherwise(blocks(F.col("all") - F.col("most.weight"))).alias("mb"))
+    count = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    mine = lambda n: F.pmod(F.xxhash64("node"), n)
+    nb, mb, major = F.col("nb"), F.col("mb"), F.col("comp") == F.col("major")
+    with_minor = F.transform(count(mb), lambda j: mine(nb) * mb + j)
+    with_major = F.transform(count(nb), lambda i: i * mb + mine(mb))
+    others = F.transform(F.filter(count(mb), lambda j: j != mine(mb)), lambda j: (nb + F.least(j, mine(mb))) * mb + F.greatest(j, mine(mb)))
+    part = F.when(major, with_minor).otherwise(F.concat(with_major, others))
+    return rows.join(keys, "key").withColumn("part", F.explode(part)).drop("major", "nb", "mb")
+
+
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): a row (id, text_key, n_shingles, hi, lo) for each document, and for
     each set of shingles a class (hi, lo, node, comp) with its component."""
@@ -251,49 +371,54 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = signed.drop("sig")
     once = signed.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = common.written(once.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    keys = classes.select("node", "sig").mapInArrow(_keys(radius_of(percent)), "key long, node long")
+    keys = classes.select("node", "sig").mapInArrow(_keys(radius_of(percent)), "key long, place int, node long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = common.written(keys.join(shared, "key"), "near-members")
     info = classes.select("node", "n_shingles", "sig")
 
-    found = _searched(members.join(info, "node").withColumn("comp", F.col("node")), _partners, percent)
-    found = common.written(found.groupBy("a", "b").agg(F.min("distance").alias("distance")), "near-found")
-    best = found.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """The full sets of nodes, from the texts of one document of each class."""
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
+        """The full sets of nodes, from the text of one document of each class."""
         text = common.text_of(text_col)
-        texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
-        one = texts.join(nodes.join(classes.select("node", "text_key"), "node"), "text_key").dropDuplicates(["node"])
-        return common.written(one.select("node", "text").mapInArrow(_sets, "node long, own binary"), "near-sets")
-
-    sets = sets_of(wanted)
-    links = common.written(_confirmed(best, sets, percent), "near-links")
-    roots = components(links)
-    labelled = _labelled(members, roots)
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rest = labelled.join(mixed, "key").join(info, "node")
-    open_pairs = common.written(_searched(rest, _across, percent).groupBy("a", "b").agg(F.min("distance").alias("distance")), "near-across")
-    lacking = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-    if not lacking.isEmpty():
-        sets = sets.unionByName(sets_of(lacking))
-    tries = 1
+        texts = docs.select(text_key(text).alias("text_key"), text.alias("text"))
+        wanted = common.written(nodes.join(classes.select("node", "text_key"), "node"), f"{name}-wanted")
+        one = texts.join(wanted, "text_key").dropDuplicates(["node"])
+        return common.written(one.select("node", "text").mapInArrow(_sets, "node long, own binary"), name)
+
+    # keys of many members: nearest partners, block by block
+    links = roots = None
+    many = members.where(F.col("members") > MANY).select("key", "node")
     while True:
-        ends = open_pairs
-        for end in ("a", "b"):
-            ends = _labelled(ends.withColumn("node", F.col(end)), roots).withColumnRenamed("comp", f"comp_{end}").drop("node")
-        ends = common.written(ends.where("comp_a <> comp_b"), "near-open")
-        if ends.isEmpty():
+        one = _labelled(many, roots).groupBy("key", "comp").agg(F.min("node").alias("node"))
+        fits = one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        fits = common.written(fits, "near-many")
+        most = fits.agg(F.max("n")).first()[0]
+        if most is None:
             break
-        nearest = Window.partitionBy("a", "comp_b").orderBy("distance", "b")
-        ranked = common.written(ends.withColumn("place", F.row_number().over(nearest)), "near-ranked")
-        more = common.written(_confirmed(ranked.where(F.col("place") <= tries), sets, percent), "near-more")
-        if not more.isEmpty():
-            links = common.written(links.unionByName(more), "near-links")
-            roots = components(links)
-        open_pairs = ranked.where(F.col("place") > tries).select("a", "b", "distance")
-        tries *= 8  # few pairs are tried while components still grow, the rest soon after
+        part = F.pmod(F.xxhash64("node", F.lit(0 if links is None else 1)), F.ceil(F.col("n") / BLOCK).cast("long"))
+        dealt = one.drop("comp").join(fits, "key").join(info, "node").withColumn("part", part).drop("n")
+        found = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_nearest(percent), "a long, b long, distance long")
+        best = common.written(found.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "near-best")
+        sets = sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-sets")
+        more = common.written(_confirmed(best, sets, percent), "near-links")
+        common.forget(sets)
+        if more.isEmpty():
+            break
+        links = more if links is None else common.written(links.unionByName(more), "near-links")
+        roots = components(links)
+        if most <= BLOCK:
+            break
+
+    # all keys: full sets meet at the owners of pairs
+    rest = _blocks(_labelled(members.select("key", "place", "node"), roots).join(info.select("node", "n_shingles"), "node"))
+    dealt = rest.join(info.select("node", "sig"), "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    owned = common.written(dealt.mapInArrow(_owned(percent), "key long, part long, node long, comp long, n_shingles long"), "near-owned")
+    sets = sets_of(owned.select("node").distinct(), "near-sets")
+    held = owned.drop("n_shingles").join(sets, "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    more = common.written(held.mapInArrow(_joins(percent), "a long, b long"), "near-links")
+    common.forget(sets, owned, members)
+    if not more.isEmpty():
+        links = more if links is None else links.unionByName(more)
+        roots = components(links)
     return rows, _labelled(classes.select("hi", "lo", "node"), roots)
 
 
@@ -324,7 +449,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     keep = common.written(keep.select(key(F.col("best.id")).alias("key"), F.col("best.no_id").alias("no_id"), F.col("best.text_key").alias("text_key")), "near-keep")
     text = common.text_of(text_col)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(F.col(id_col)).alias("key"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text).alias("text_key"), text.rlike(common.WORD).alias("worded"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(F.col(id_col)).alias("key"), F.col(id_col).isNull().alias("no_id"), text_key(text).alias("text_key"), text.rlike(common.WORD).alias("worded"))
     on = ["key", "no_id", "text_key"]
     chosen = packed.where("worded").join(keep, on, "left_semi").dropDuplicates(on)
     return chosen.select("row.*").unionByName(packed.where("not worded").select("row.*"))

@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import random
 import re
 import zlib
 
@@ -73,6 +74,48 @@ def test_near_radius():
     assert (near_dedup.keys_of(a, 28) == near_dedup.keys_of(b, 28)).any(axis=1).all()
 
 
+def test_chunk_owner_is_the_lowest_shared_key():
+    rng = np.random.default_rng(6)
+    for radius in (23, 28):
+        a = rng.integers(0, 2**16, (60, 64), dtype=np.uint16)
+        b = np.where(rng.random((60, 64)) < 0.3, a ^ 1, a).astype(np.uint16)
+        same = near_dedup.keys_of(a, radius) == near_dedup.keys_of(b, radius)
+        starts = near_dedup.chunk_starts(radius)
+        other = a != b
+        few = np.add.reduceat(other, starts, axis=1, dtype=np.uint8) <= 1
+        assert (few.any(axis=1) == same.any(axis=1)).all()
+
+
+def family(n, seed, change):
+    """n texts of 200 words, each with a share of its words changed at random places."""
+    dice = random.Random(seed)
+    base = [f"w{seed}_{i}" for i in range(200)]
+    return [" ".join(w if dice.random() > change else f"x{seed}_{k}_{i}" for i, w in enumerate(base)) for k in range(n)]
+
+
+@pytest.mark.parametrize(("block", "many"), [(4096, 32), (32, 16)])
+def test_family_of_unlinked_near_pairs(spark, monkeypatch, block, many):
+    texts = family(200, 1, 0.02) + family(40, 2, 0.002) + [family(1, 1, 0.0)[0]] * 5 + family(60, 1, 0.006)
+    rows = list(enumerate(texts))
+    counts, plain = {}, common.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "MANY", many)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.find_near_copies(df).collect()}
+    want = near_by_force(rows)
+    assert got == want
+    assert 50 < len({c for _, c in want.values()}) < 250
+    if block > len(rows):  # else members meet in several groups
+        assert counts["near-links"] <= 10 * len(rows) and counts["near-owned"] <= counts["near-members"]
+
+
 def test_pipeline_near_copies(spark):
     import corpus_pipeline
 
