@@ -37,6 +37,8 @@ MAGIC = b"CTOKTAB1"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK = 1 << 18
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: A manifest of at most so many shards is broadcast for lookups.
+MOST_SHARDS = 100_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -76,8 +78,8 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
 class Writer:
     """Writes one shard to an open stream; keys come in ascending order."""
 
-    def __init__(self, stream, width: int):
-        self.stream, self.width, self.kind = stream, width, {2: "<u2", 4: "<u4"}[width]
+    def __init__(self, stream, width: int, size: int = BLOCK):
+        self.stream, self.width, self.kind, self.size = stream, width, {2: "<u2", 4: "<u4"}[width], size
         self.at = self.docs = self.tokens = 0
         self.index: list[bytes] = []
         self.keys: list[bytes] = []
@@ -101,7 +103,7 @@ class Writer:
             self.keys.append(key)
         self.docs += 1
         self.tokens += len(ids)
-        if self.held >= BLOCK:
+        if self.held >= self.size:
             self._close_block()
 
     def _close_block(self) -> None:
@@ -183,7 +185,7 @@ class Reader:
 MANIFEST = "path string, docs long, tokens long, low binary, high binary"
 
 
-def _write(tokenizer: str, end_id: int | None, folder: str):
+def _write(tokenizer: str, end_id: int | None, folder: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         tail = np.array([] if end_id is None else [end_id], np.uint32)
@@ -199,12 +201,12 @@ def _write(tokenizer: str, end_id: int | None, folder: str):
                 fs.create_dir(at.rpartition("/")[0], recursive=True)
                 own = f"{at}.{context.taskAttemptId()}.tmp"
                 stream = fs.open_output_stream(own)
-                out = Writer(stream, width)
+                out = Writer(stream, width, block)
                 low = key_of(batch.column("id")[0].as_py())
             _, offsets = shingles.column_bytes(batch.column("text"))
             for i, j in shingles.slices(offsets):
                 keys = [key_of(x) for x in batch.column("id").slice(i, j - i).to_pylist()]
-                for key, ids in zip(keys, encoder.encode(batch.column("text").slice(i, j - i).to_pylist())):
+                for key, ids in zip(keys, encoder.encode(batch.column("text").slice(i, j - i))):
                     out.add(key, np.concatenate((ids, tail)))
                 high = keys[-1]
         if out is not None:
@@ -216,17 +218,20 @@ def _write(tokenizer: str, end_id: int | None, folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, folder: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, folder: str | None = None, block: int = BLOCK) -> DataFrame:
     """Encodes docs, appends end_id to each, writes the shards and returns their manifest:
     path, docs, tokens, low and high key, and start, the tokens of all shards before.
 
     Shards follow each other by ascending id, null last, rows of equal ids by a hash of
-    their text. Null texts are empty. An empty table gives no shards."""
+    their text. Ids are whole numbers (byte to bigint; others are refused). Null texts are
+    empty. An empty table gives no shards."""
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; keys of the table are whole numbers")
     folder = folder or f"{common.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
     dealt = rows.repartitionByRange(F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), F.xxhash64("text"))
-    shards = common.written(dealt.mapInArrow(_write(tokenizer, end_id, folder), MANIFEST), "token-manifest")
+    shards = common.written(dealt.mapInArrow(_write(tokenizer, end_id, folder, block), MANIFEST), "token-manifest")
     before = Window.orderBy("low", "high", "path").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -262,11 +267,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_tokens(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """As read_tokens, for the distinct ids of wanted only, by lookup in the shards whose
-    range of keys holds them. The manifest (a row per shard) is broadcast."""
+    range of keys holds them.
+
+    The manifest is broadcast up to MOST_SHARDS rows (100 bytes each); beyond that Spark picks
+    the join. A null id finds the rows without id; an id that is not there gives no row."""
     flip = F.expr("unhex(lpad(hex(wanted ^ cast('-9223372036854775808' as bigint)), 16, '0'))")
     ids = wanted.select(F.col(id_col).cast("long").alias("wanted")).distinct()
     ids = ids.withColumn("key", F.when(F.col("wanted").isNull(), F.unhex(F.lit("01"))).otherwise(F.concat(F.unhex(F.lit("00")), flip)))
-    routed = ids.join(F.broadcast(manifest), F.col("key").between(F.col("low"), F.col("high")))
+    routed = ids.join(F.broadcast(manifest) if manifest.count() <= MOST_SHARDS else manifest, F.col("key").between(F.col("low"), F.col("high")))
     return routed.select("path", "start", "wanted").repartition("path").sortWithinPartitions("path", "wanted").mapInArrow(_find, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -4,14 +4,13 @@ import bisect
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
 from compare import difference
 from pyspark.sql import functions as F
 
-from chronotext.llm import chat_format, common, exact_dedup, mixing, near_dedup, quality, queries, secret_scan, sentence_pieces, substring_dedup, token_table
+from chronotext.llm import chat_format, common, exact_dedup, mixing, near_dedup, quality, queries, secret_scan, sentence_pieces, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, row string, id string"
@@ -189,22 +188,6 @@ def test_chat_template_sees_whole_history(spark):
     assert [r.span for r in got if not r.rewrites] == [f"system{i}:{t};" for i, (_, t) in enumerate(turns) if i != 12]
 
 
-def test_token_table(spark, docs):
-    from tokenizers import Tokenizer
-
-    path = token_table.tokenizer_path()
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    good = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    got = token_table.read_tokens(token_table.write_tokens(good, path, end_id=2)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("c")).collect()
-    at = 0
-    for r in sorted(got, key=lambda r: r.doc_id):
-        text = next(x[1] for x in ROWS if x[0] == r.doc_id) or ""
-        ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
-        assert (r.start, r.n_tokens, r.c) == (at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
-        at += len(ids)
-
-
 def test_repeats(spark):
     passage = " ".join(f"shared{i}" for i in range(60)) + "."
     df = spark.createDataFrame([(1, f"Own start. {passage}"), (2, f"Other start.\n{passage}\nOwn end."), (3, None), (4, "")], "doc_id long, text string")
