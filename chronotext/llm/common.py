@@ -29,12 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: While a table is written: its shuffle files go when it is complete, as nothing else reads
+#: them, and batches for Python are bounded by bytes, not by rows alone.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 25)}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to a table in the shared folder and read from there: cuts the lineage
     and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    try:
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

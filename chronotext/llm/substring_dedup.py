@@ -195,25 +195,31 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if uid_col is None:
         rows = common.written(rows, "repeat-texts")
     units = common.written(rows.mapInArrow(_units, UNITS), "units")
-    pieces = common.written(_later(units.where(F.col("kind") != ANCHOR), ["kind", "hi", "lo"], "unit-digests"), "unit-repeats")
+    span = ["id", "uid", "w", "words", "at", "stop"]
+    pieces = common.written(_later(units.where(F.col("kind") != ANCHOR), ["kind", "hi", "lo"], "unit-digests").select("kind", *span), "unit-repeats")
     texts = rows.select("id", "uid", F.md5(F.col("text").cast("binary")).alias("md5"), F.lit(0).alias("w"), F.lit(1).alias("words"))
     copies = common.written(_later(texts, ["md5"], "text-digests").select("uid"), "text-copies")
     anchors = units.where(F.col("kind") == ANCHOR).select("uid", "hi").join(copies, "uid", "left_anti")
     anchors = common.written(anchors, "anchors")
+    common.forget(units, copies)
+    sentences = pieces.where(F.col("kind") == SENTENCE).select(*span, F.lit(1).cast("long").alias("units"))
+    lines = pieces.where(F.col("kind") == LINE).select(*span, F.lit(0).cast("long").alias("units"))
+    runs = common.written(_joined(_joined(sentences).where(F.col("words") >= least_words).select(*span, "units").unionByName(lines)).select(*span, "units"), "unit-runs")
+    common.forget(pieces)
+
     twice = common.written(anchors.groupBy("hi").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("hi"), "anchor-digests")
-    wanted = anchors.join(twice, "hi").groupBy("uid").agg(F.collect_set("hi").alias("anchors"))
+    wanted = common.written(anchors.join(twice, "hi").groupBy("uid").agg(F.collect_set("hi").alias("anchors")), "anchor-lists")
+    common.forget(anchors, twice)
     windows = common.written(rows.join(wanted, "uid").select("id", "uid", "text", "anchors").mapInArrow(_windows, WINDOWS), "windows")
+    common.forget(wanted, rows if uid_col is None else None)
     passages = _later(windows, ["hi", "lo"], "window-digests", ("breaks",))
     other = F.col("breaks").bitwiseXOR(F.col("kept_breaks"))
     head, tail = other.bitwiseAND(F.lit(1)), F.shiftright(other, 1)
     at, stop = F.when(head == 1, F.col("at_second")).otherwise(F.col("at")), F.when(tail == 1, F.col("stop_second")).otherwise(F.col("stop"))
-    passages = passages.select("id", "uid", (F.col("w") + head).alias("w"), (F.col("words") - head - tail).alias("words"), at.alias("at"), stop.alias("stop"))
-
-    span = ["id", "uid", "w", "words", "at", "stop"]
-    sentences = pieces.where(F.col("kind") == SENTENCE).select(*span, F.lit(1).cast("long").alias("units"))
-    whole = pieces.where(F.col("kind") == LINE).select(*span).unionByName(passages).withColumn("units", F.lit(0).cast("long"))
-    runs = _joined(sentences).where(F.col("words") >= least_words).select(*span, "units")
-    found = _joined(runs.unionByName(whole))
+    passages = passages.select("id", "uid", (F.col("w") + head).alias("w"), (F.col("words") - head - tail).alias("words"), at.alias("at"), stop.alias("stop"), F.lit(0).cast("long").alias("units"))
+    passages = common.written(passages, "window-repeats")
+    common.forget(windows)
+    found = _joined(runs.unionByName(passages))
     return found.select(F.col("id").alias(id_col), "uid", F.col("at").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("words").cast("long").alias("words"), "units")
 
 
