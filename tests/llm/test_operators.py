@@ -135,15 +135,6 @@ def test_near_edge_cases(spark, docs):
     assert near_dedup.drop_near_copies(docs).columns == docs.columns
 
 
-def test_exact_edge_cases(spark, docs):
-    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(docs).collect()}
-    assert {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 3, 2, False), (7, 7, 2, True)} <= got
-    kept = exact_dedup.drop_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == 6
-    small = {(r.doc_id, r.keep_id) for r in exact_dedup.find_copies(docs, capacity=1).collect()}
-    assert small == {(a, b) for a, b, _, _ in got}
-
-
 def test_mix(spark, docs):
     got = mixing.plan(docs).collect()
     assert all(0 <= r.copies <= 3 for r in got) and len(got) == len(ROWS)
@@ -263,10 +254,6 @@ def test_quality_edges(spark, docs):
     assert quality.keep_good(docs, trees).count() == len(ROWS)
 
 
-def test_secrets_edges(spark, docs):
-    assert secret_scan.find_secrets(docs).count() == len(ROWS)
-
-
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     for df in (exact_dedup.find_copies(none), exact_dedup.drop_copies(none), near_dedup.find_near_copies(none), near_dedup.drop_near_copies(none), mixing.mix(none), sentence_pieces.encode(none, sentence_pieces.model_path()), substring_dedup.find_repeats(none), secret_scan.find_secrets(none)):
