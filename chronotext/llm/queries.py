@@ -110,12 +110,12 @@ def _op9_sql() -> str:
     """Places come from lengths of pieces and matches; windows are counted anew, not
     incrementally, and joined to spans by gaps between their starts."""
 
-    def spans(kind: str, pattern: str, keep: str, group: int = 0) -> str:
-        own = f"regexp_extract_all(text, '{pattern}', {group})"
+    def spans(kind: str, pattern: str, keep: str, group: int = 0, text: str = "text") -> str:
+        own = f"regexp_extract_all({text}, '{pattern}', {group})"
         return f"""SELECT row, '{kind}' AS kind, gaps + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS start, m[i] AS hit, o[i] AS own FROM (
           SELECT row, m, o, i, list_sum(list_transform(p[:i], lambda x: length(x))) AS gaps FROM (
             SELECT row, m, o, p, unnest(range(1, len(m) + 1)) AS i FROM (
-              SELECT row, regexp_extract_all(text, '{pattern}') AS m, {own} AS o, regexp_split_to_array(text, '{pattern}') AS p FROM d) WHERE len(m) > 0)) WHERE {keep}"""
+              SELECT row, regexp_extract_all({text}, '{pattern}') AS m, {own} AS o, regexp_split_to_array({text}, '{pattern}') AS p FROM d) WHERE len(m) > 0)) WHERE {keep}"""
 
     q = lambda x: x.replace("'", "''").replace("(?i:(", "(?i:(")
     parts = [
@@ -127,7 +127,7 @@ def _op9_sql() -> str:
     for kind, (characters, least) in secret_scan.CLASSES.items():
         run = secret_scan._class(characters)
         allowed = " OR ".join(f"regexp_matches(m[i], '{q(a)}')" for a in secret_scan.ALLOWED)
-        ctes.append(f"{kind}_c AS ({spans(kind, f'{run}{{{w},}}', f'NOT ({allowed})')})")
+        ctes.append(f"{kind}_c AS ({spans(kind, f'{run}{{{w},}}', f'NOT ({allowed})', text='bare')})")
         ctes.append(f"""{kind}_w AS (SELECT row, kind, start, p, string_split(substr(hit, p, {w}), '') AS c FROM (SELECT *, unnest(range(1, length(hit) - {w} + 2)) AS p FROM {kind}_c))""")
         ctes.append(f"""{kind}_h AS (SELECT row, kind, start, p FROM {kind}_w WHERE
           list_sum(list_transform(list_distinct(c), lambda x: -(len(list_filter(c, lambda y: y = x)) / {w}) * log2(len(list_filter(c, lambda y: y = x)) / {w}))) >= {least} - 1e-9)""")
@@ -135,8 +135,11 @@ def _op9_sql() -> str:
         ctes.append(f"""{kind}_s AS (SELECT row, kind, start + min(p) - 1 AS a, start + max(p) - 1 + {w} AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY row, start ORDER BY p) AS g FROM {kind}_g) GROUP BY row, kind, start, g)""")
         runs.append(f"SELECT row, kind, a, b FROM {kind}_s")
     order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(secret_scan.KINDS))
+    bare = "text"
+    for part in secret_scan.BLANKED:
+        bare = f"regexp_replace({bare}, '(?i){part}', '{' ' * len(part)}', 'g')"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT *, {bare} AS bare FROM (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents)),
 b AS (SELECT row, kind, start AS a, start + length(hit) AS b FROM ({" UNION ALL ".join(parts)})),
 {", ".join(ctes)},
 u AS (SELECT *, CASE kind {order} END AS place FROM (SELECT * FROM b UNION ALL {" UNION ALL ".join(runs)})),

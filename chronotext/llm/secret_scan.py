@@ -5,10 +5,13 @@ for each character class the runs of its characters are candidates; a window of
 characters slides over a candidate, with a count of each character that is raised for the
 character that enters and lowered for the one that leaves. The window's Shannon entropy
 follows from the same two counts. Windows that reach the class's threshold are flagged and
-joined to spans. Candidates on the allow list are left out.
+joined to spans. Candidates on the allow list are left out, and placeholders within a text
+are blanked first, so that a window over one is no candidate but what stands beside it is.
 
 Only column functions are used and every row is worked on by itself: no shuffle, no Python.
-A match's place is the sum of the lengths of matches and pieces before it.
+A match's place is the sum of the lengths of matches and pieces before it; places are summed
+up within chunks of CHUNK matches and over chunks, so that a text of n matches costs about
+n * CHUNK + (n / CHUNK) ** 2 array copies and not n ** 2.
 """
 
 from __future__ import annotations
@@ -34,14 +37,17 @@ CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", 3.0),
 }
 #: Candidates that match one of these are no secrets: plain words, also joined by signs;
-#: numbers; UUIDs; alphabets and counted-up digits; placeholders.
+#: numbers; UUIDs. (Alphabets, counted-up digits and placeholders: see BLANKED.)
 ALLOWED = (
     r"^[A-Z]?[a-z]+$|^[A-Z]+$",
     r"^[A-Z]?[a-z]+([-_/+=]+[A-Z]?[a-z]+)*$",
     r"^[0-9]+([-_/+=][0-9]+)*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefghijkl|0123456789|example|placeholder|changeme",
 )
+#: Parts of a text that are no part of a secret, whatever stands around them.
+BLANKED = ("abcdefghijkl", "0123456789", "example", "placeholder", "changeme")
+#: Matches whose places are summed up at once.
+CHUNK = 128
 KINDS = ("assign", "access", "hex", *CLASSES)
 
 
@@ -49,21 +55,41 @@ def _class(characters: str) -> str:
     return "[" + characters.replace("-", r"\-") + "]"
 
 
+def _running(parts: Column, zero: Column) -> Column:
+    """Sums of parts before each of them."""
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(parts, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
+def _sums_before(parts: Column) -> Column:
+    """For each of an array's numbers the sum of all before it, chunk by chunk."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+    n = F.size(parts)
+    firsts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    chunks = F.transform(firsts, lambda i: F.slice(parts, i, F.lit(CHUNK)))
+    begins = _running(F.transform(chunks, total), F.lit(0))
+    return F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), begins.alias("begin")), lambda c: _running(c["chunk"], c["begin"])))
+
+
 def _spans(text: Column, pattern: str, needed: Column, group: int = 0) -> Column:
     """Array of (start, stop, match, group) of all matches, if the text may have any."""
     none = F.array().cast("array<struct<start:int,stop:int,match:string,own:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("match"), own.alias("own"), F.transform(F.slice(between, 1, F.size(found)), F.length).alias("gap"))
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+    # between matches lie the gaps: place k is the sum of k + 1 gaps and k lengths of matches
+    sums = _sums_before(F.zip_with(gaps, F.transform(found, F.length), lambda g, m: g + m))
+    zipped = F.arrays_zip(found.alias("match"), own.alias("own"), gaps.alias("gap"), sums.alias("before"))
+    start = lambda x: x["before"] + x["gap"]
+    placed = F.transform(zipped, lambda x: F.struct(start(x).alias("start"), (start(x) + F.length(x["match"])).alias("stop"), x["match"].alias("match"), x["own"].alias("own")))
+    return F.when(needed, placed).otherwise(none)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["match"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("match"), x["own"].alias("own")))).alias("out"))
 
-    return F.when(needed, F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(none)
+def blanked(text: Column) -> Column:
+    """text with as many blanks in place of each part on the list."""
+    for part in BLANKED:
+        text = F.regexp_replace(text, F.lit(f"(?i){part}"), F.lit(" " * len(part)))
+    return text
 
 
 def _kinds(spans: Column, kind: str) -> Column:
@@ -78,7 +104,9 @@ def _windows(candidate: Column, characters: str, least: float) -> Column:
     weight = lambda c: F.element_at(f, c + 1)
     text, at = candidate["match"], candidate["start"]
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    zero = F.struct(F.array_repeat(F.lit(0), len(characters)).alias("n"), F.lit(0.0).alias("sum"), none.alias("out"))
+    nowhere = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
+    zero = F.struct(F.array_repeat(F.lit(0), len(characters)).alias("n"), F.lit(0.0).alias("sum"), none.alias("out"), nowhere.alias("open"))
+    closed = lambda out, span: F.when(span["stop"] < 0, out).otherwise(F.concat(out, F.array(span)))
 
     def index(p: Column) -> Column:
         return F.call_function("locate", F.substring(text, p, F.lit(1)), F.lit(characters))
@@ -94,17 +122,19 @@ def _windows(candidate: Column, characters: str, least: float) -> Column:
         come = F.element_at(acc["n"], m["enter"]) - (m["enter"] == m["leave"]).cast("int")
         total = acc["sum"] + weight(gone - 1) - weight(gone) + weight(come + 1) - weight(come)
         counts = F.transform(acc["n"], lambda c, i: c + (i + 1 == m["enter"]).cast("int") - (i + 1 == m["leave"]).cast("int"))
-        return F.element_at(F.transform(F.array(total), lambda t: F.struct(counts.alias("n"), t.alias("sum"), grown(acc["out"], p, t).alias("out"))), 1)
+        return F.element_at(F.transform(F.array(total), lambda t: grown(acc, counts, p, t)), 1)
 
-    def grown(out: Column, p: Column, total: Column) -> Column:
+    def grown(acc: Column, counts: Column, p: Column, total: Column) -> Column:
+        """A high window lengthens the open span, or closes it and opens another: arrays are
+        copied once for each span, not for each character."""
         high = (p >= w) & (F.lit(math.log2(w)) - total / w >= least - 1e-9)
-        start, stop = at + p - w, at + p
-        last = F.element_at(out, -1)
-        joins = (F.size(out) > 0) & (F.coalesce(last["stop"], F.lit(-1)) >= start)
-        longer = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), stop.alias("stop"))))
-        return F.when(~high, out).when(joins, longer).otherwise(F.concat(out, F.array(F.struct(start.alias("start"), stop.alias("stop")))))
+        start, stop, now = at + p - w, at + p, acc["open"]
+        joins = now["stop"] >= start
+        span = F.struct(F.when(joins, now["start"]).otherwise(start).alias("start"), stop.alias("stop"))
+        out = F.when(high & ~joins, closed(acc["out"], now)).otherwise(acc["out"])
+        return F.struct(counts.alias("n"), total.alias("sum"), out.alias("out"), F.when(high, span).otherwise(now).alias("open"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda acc: closed(acc["out"], acc["open"]))
 
 
 def _flagged(candidates: Column, characters: str, least: float) -> Column:
@@ -138,11 +168,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # runs are greedy and a run's first match takes the rest of it, so length can be in the pattern
     access = _spans(text, rf"{ACCESS_START}{ACCESS_REST}{{{LEAST_ACCESS - 4},}}", text.contains(ACCESS_START))
     hexes = _spans(text, rf"{HEX_RUN}{{{LEAST_HEX},}}", text.rlike(rf"{HEX_RUN}{{{LEAST_HEX}}}"))
-    rows = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text")).withColumn("bare", blanked(text))
     cols = {"assign": assign, "access": access, "hex": hexes}
     for kind, (characters, least) in CLASSES.items():
         run = _class(characters)
-        runs = _spans(text, rf"{run}{{{WINDOW},}}", text.rlike(rf"{run}{{{WINDOW}}}"))
+        runs = _spans(F.col("bare"), rf"{run}{{{WINDOW},}}", F.col("bare").rlike(rf"{run}{{{WINDOW}}}"))
         cols[kind] = F.filter(runs, lambda s: ~_allowed(s["match"]))
     rows = rows.select("id", *[c.alias(k) for k, c in cols.items()])
     base = F.array_sort(F.concat(*[_kinds(F.col(k), k) for k in ("assign", "access", "hex")]))
