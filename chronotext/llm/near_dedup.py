@@ -41,8 +41,9 @@ PLACES, MISSED = 64, 1e-5
 #: Members of a key are compared in blocks of about this many at most; a member of SHINGLES
 #: shingles counts as two, so a block's sets are bounded too.
 BLOCK, SHINGLES = 4096, 512
-#: Keys of more members are first joined to components by nearest partners.
-MANY = 128
+#: Keys of more members are first joined to components by nearest partners; all pairs of the
+#: members of smaller ones are compared at once.
+MANY = 1024
 #: Pairs that are compared at once.
 PAIRS = 1 << 16
 
@@ -388,7 +389,9 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = roots = None
     many = members.where(F.col("members") > MANY).select("key", "node")
     while True:
-        one = _labelled(many, roots).groupBy("key", "comp").agg(F.min("node").alias("node"))
+        one = many.withColumn("comp", F.col("node"))
+        if roots is not None:
+            one = many.join(_labelled(classes.select("node"), roots), "node").groupBy("key", "comp").agg(F.min("node").alias("node"))
         fits = one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         fits = common.written(fits, "near-many")
         most = fits.agg(F.max("n")).first()[0]
@@ -407,9 +410,10 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         roots = components(links)
         if most <= BLOCK:
             break
+        many = many.join(fits.where(F.col("n") > BLOCK).select("key"), "key", "left_semi")
 
     # all keys: full sets meet at the owners of pairs
-    rest = _blocks(_labelled(members.select("key", "place", "node"), roots).join(info.select("node", "n_shingles"), "node"))
+    rest = _blocks(members.select("key", "place", "node").join(_labelled(classes.select("node", "n_shingles"), roots), "node"))
     dealt = rest.join(info.select("node", "sig"), "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
     owned = common.written(dealt.mapInArrow(_owned(percent), "key long, part long, node long, comp long, n_shingles long"), "near-owned")
     sets = sets_of(owned.select("node").distinct(), "near-sets")
