@@ -12,21 +12,59 @@ KATAKANA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
 HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
 
 
-def script(text: Column) -> Column:
-    """The script that decides a text: kana, Cyrillic, Hangul; where Latin and Han meet the one
-    that comes first; null without letters."""
-    latin, han = text.rlike(LATIN), text.rlike(HAN)
-    first = F.regexp_extract(text, f"{HAN}|{LATIN}", 0)
+#: The romanisation of a Hangul syllable's first sound, vowel, last sound at the
+#: end, and last sound carried over to a vowel that follows.
+FIRST = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
+VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(" ")
+LAST = "- k k k n n n t l k m l l l p l m p p t t ng t t k t p t".replace("-", "").split(" ")
+CARRIED = "- g kk ks n nj n d r lg m lb ls lt lp r m b bs s ss ng j ch k t p h".replace("-", "").split(" ")
+SYLLABLES, SILENT, NG = 0xAC00, 11, 21
+
+
+def language(text: Column) -> Column:
+    """ja, ru or ko by kana, Cyrillic and Hangul; en for two Latin words before the first Han
+    sign or Latin without Han; zh for Han; else unknown."""
+    before = F.regexp_extract(text, f"^(?s:(.*?)){HAN}", 1)
     return (
-        F.when(text.rlike(KANA), "kana")
-        .when(text.rlike(CYRILLIC), "cyrillic")
-        .when(text.rlike(HANGUL), "hangul")
-        .when(latin & han, F.when(first.rlike(LATIN), "latin").otherwise("han"))
-        .when(han, "han")
-        .when(latin, "latin")
+        F.when(text.rlike(KANA), "ja")
+        .when(text.rlike(CYRILLIC), "ru")
+        .when(text.rlike(HANGUL), "ko")
+        .when(text.rlike(HAN) & (F.regexp_count(before, F.lit("[A-Za-z]{2,}")) >= 2), "en")
+        .when(text.rlike(HAN), "zh")
+        .when(text.rlike(LATIN), "en")
+        .otherwise("unknown")
     )
 
 
+def characters(text: Column) -> Column:
+    """A text's code points as one-character strings."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def romanised(text: Column) -> Column:
+    """For each character the reading of a Hangul syllable, empty for any other. A last sound
+    moves to a following syllable that begins with a vowel, but ng stays."""
+    table = lambda values: F.array(*[F.lit(v) for v in values])
+    codes = F.transform(characters(text), lambda c: F.when(c.rlike(f"^{HANGUL}$"), F.ascii(c) - SYLLABLES))
+    first, last = lambda k: F.floor(k / 588).cast("int"), lambda k: (k % 28).cast("int")
+    pick = lambda values, k: F.element_at(table(values), k + 1)
+
+    def read(codes: Column) -> Column:
+        at = lambda i: F.when((i >= 0) & (i < F.size(codes)), F.get(codes, i))
+
+        def one(k: Column, i: Column) -> Column:
+            before, after = at(i - 1), at(i + 1)
+            moves_in = before.isNotNull() & (first(k) == SILENT) & ~last(before).isin(0, NG)
+            moves_out = after.isNotNull() & (first(after) == SILENT) & ~last(k).isin(0, NG)
+            begin = F.when(moves_in, pick(CARRIED, last(before))).otherwise(pick(FIRST, first(k)))
+            end = F.when(moves_out, "").otherwise(pick(LAST, last(k)))
+            return F.when(k.isNull(), "").otherwise(F.concat(begin, pick(VOWEL, F.floor(k % 588 / 28).cast("int")), end))
+
+        return F.transform(codes, one)
+
+    return F.element_at(F.transform(F.array(codes), read), 1)
+
+
 def hiragana(text: Column) -> Column:
     return F.translate(text, KATAKANA, HIRAGANA)
 

@@ -53,17 +53,37 @@ def pairing_cost(a, b) -> int:
     return int(_least_costs(x, y, SPARE * np.arange(len(y) + 1), MISS, SPARE, MISS + SPARE)[-1])
 
 
+def _longest_block(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(place in a, place in b, length) of the longest equal stretch, of equally long ones the
+    first in a, then in b."""
+    best, line = (0, 0, 0), np.zeros(len(b) + 1, np.int64)
+    for i, x in enumerate(a):
+        fresh = np.zeros_like(line)
+        fresh[1:] = np.where(b == x, line[:-1] + 1, 0)
+        j = int(fresh.argmax())
+        n = int(fresh[j])
+        if n and (-n, i + 1 - n, j - n) < (-best[2], best[0], best[1]):
+            best = (i + 1 - n, j - n, n)
+        line = fresh
+    return best
+
+
 def covered_in_order(a, b) -> float:
-    """The greatest share of a's symbols that occur in b in order; 0 if a is empty."""
+    """The share of a's symbols in matching blocks: the longest equal stretch of both, then the
+    longest before it on both sides and after it, and so on; 0 if a is empty. (This can be less
+    than the longest common subsequence.)"""
     x, y = _codes(a, b)
     if not len(x):
         return 0.0
-    line = np.zeros(len(y) + 1, np.int64)
-    for s in x:
-        fresh = line.copy()
-        fresh[1:] = np.maximum(fresh[1:], line[:-1] + (y == s))
-        line = np.maximum.accumulate(fresh)
-    return float(line[-1]) / len(x)
+    n, todo = 0, [(0, len(x), 0, len(y))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 < a1 and b0 < b1:
+            i, j, k = _longest_block(x[a0:a1], y[b0:b1])
+            if k:
+                n += k
+                todo += [(a0, a0 + i, b0, b0 + j), (a0 + i + k, a1, b0 + j + k, b1)]
+    return n / len(x)
 
 
 def _column(how, kind: str):

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 def islands(rows: DataFrame, by: list[str], order: list[str], breaks: Column) -> DataFrame:
     """rows with ``island``: a number that grows by one where ``breaks`` (over the window)
-    is true; null and the first row count as no break."""
+    is true; null and the first row count as no break. A column island of the caller's is
+    refused."""
+    if "island" in rows.columns:
+        raise ValueError("rows have a column named island")
     w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_b", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn("island", F.sum("_b").over(w).cast("long")).drop("_b")
+    marked = rows.select("*", F.coalesce(breaks, F.lit(False)).cast("int").alias("__break"))
+    return marked.select(*rows.columns, F.sum("__break").over(w).cast("long").alias("island"))
 
 
 def gap_runs(rows: DataFrame, by: list[str], gap: int, least: int = 1) -> DataFrame:
@@ -29,9 +33,11 @@ def index_blocks(rows: DataFrame, by: list[str], index: str) -> DataFrame:
 
 
 def collapsed(rows: DataFrame, by: list[str], order: str, token: str) -> DataFrame:
-    """Rows whose token differs from the one before in their key."""
+    """Rows whose token differs from the one before in their key; the first always stays, and
+    of null tokens each does."""
     w = Window.partitionBy(*by).orderBy(order)
-    return rows.withColumn("_p", F.lag(token).over(w)).where(~F.col(token).eqNullSafe(F.col("_p")) | F.col("_p").isNull()).drop("_p")
+    marked = rows.select("*", F.lag(token).over(w).alias("__before"))
+    return marked.where(~F.col(token).eqNullSafe(F.col("__before")) | F.col("__before").isNull()).select(*rows.columns)
 
 
 def next_known(rows: DataFrame, by: list[str], order: list[str], value: Column) -> Column:

@@ -14,20 +14,26 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance: int) ->
     of equally near ones the earlier, at one time the one with the smaller id.
 
     Both sides are sorted together once; a row's neighbours come from a running last and
-    first value, so the work is that of a sort however many rows lie within the tolerance."""
-    both = left.withColumn("side", F.lit(0)).unionByName(right.select(*by, "t", "id").withColumn("side", F.lit(1)), allowMissingColumns=True)
-    own = F.when(F.col("side") == 1, F.struct("t", "id"))
-    order = Window.partitionBy(*by)
-    earliest = F.min(own).over(order.orderBy("t").rangeBetween(0, 0))
-    both = both.withColumn("same", earliest)
-    before = F.last(F.when(F.col("side") == 1, F.col("same")), ignorenulls=True).over(order.orderBy("t", F.desc("side")).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("side") == 1, F.col("same")), ignorenulls=True).over(order.orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumn("before", before).withColumn("after", after).where("side = 0")
-    a, b = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
-    pick = F.when(b.isNull() | (a <= b), F.struct(F.col("before.id").alias("id"), a.alias("gap"))).otherwise(F.struct(F.col("after.id").alias("id"), b.alias("gap")))
-    both = both.withColumn("pick", pick)
-    near = F.col("pick.gap") <= tolerance
-    return both.select(*left.columns, F.when(near, F.col("pick.id")).alias("match_id"), F.when(near, F.col("pick.gap")).alias("gap"))
+    first value, so the work is that of a sort however many rows lie within the tolerance.
+    Columns of left keep their names and values; only match_id and gap are replaced."""
+    key = lambda df: [F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)]
+    at = [F.col("t").alias("_t"), F.col("id").alias("_id")]
+    a = left.select(*key(left), *at, F.lit(0).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
+    b = right.select(*key(right), *at, F.lit(1).alias("_side"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    own = F.when(F.col("_side") == 1, F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")))
+    order = Window.partitionBy(*[f"_by_{i}" for i in range(len(by))])
+    both = both.withColumn("_same", F.min(own).over(order.orderBy("_t").rangeBetween(0, 0)))
+    found = F.when(F.col("_side") == 1, F.col("_same"))
+    before = F.last(found, ignorenulls=True).over(order.orderBy("_t", F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(found, ignorenulls=True).over(order.orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("_before", before).withColumn("_after", after).where("_side = 0")
+    x, y = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
+    pick = F.when(y.isNull() | (x <= y), F.struct(F.col("_before.id").alias("id"), x.alias("gap"))).otherwise(F.struct(F.col("_after.id").alias("id"), y.alias("gap")))
+    both = both.withColumn("_pick", pick)
+    near = F.col("_pick.gap") <= tolerance
+    kept = [F.col("_row").getField(c).alias(c) for c in left.columns if c not in ("match_id", "gap")]
+    return both.select(*kept, F.when(near, F.col("_pick.id")).alias("match_id"), F.when(near, F.col("_pick.gap")).alias("gap"))
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance: int) -> DataFrame:
@@ -62,8 +68,15 @@ def migrate_keys(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
 
 def contained(parts: DataFrame, texts: DataFrame, n: int, least: float, grams: Column) -> DataFrame:
     """(item_id, doc_id, share) where at least that share of an item's distinct n-grams occur
-    in a text. parts (item_id, items), texts (doc_id, items); grams maps the column items."""
+    in a text. parts (item_id, items), texts (doc_id, items); grams maps the column items.
+
+    Grams meet as 64-bit hashes, with those of texts reduced to ones that an item has before
+    anything is shuffled by document (Spark broadcasts the items' grams if they are small);
+    equal hashes are held against the grams themselves, once for each distinct gram."""
     p = parts.select("item_id", grams.alias("g")).withColumn("total", F.size("g")).select("item_id", "total", F.explode("g").alias("gram"))
-    d = texts.select("doc_id", F.explode(grams).alias("gram"))
-    hits = p.join(d, "gram").groupBy("item_id", "doc_id").agg((F.count(F.lit(1)) / F.first("total")).alias("share"))
+    p = p.withColumn("hash", F.xxhash64("gram"))
+    wanted = p.select("hash", "gram").distinct().groupBy("hash").agg(F.collect_set("gram").alias("own"))
+    d = texts.select("doc_id", F.explode(grams).alias("gram")).withColumn("hash", F.xxhash64("gram"))
+    d = d.join(wanted, "hash").where(F.array_contains("own", F.col("gram"))).select("doc_id", "hash", "gram")
+    hits = d.join(p, ["hash", "gram"]).groupBy("item_id", "doc_id").agg((F.count(F.lit(1)) / F.first("total")).alias("share"))
     return hits.where(F.col("share") >= least)

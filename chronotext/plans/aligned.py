@@ -72,7 +72,8 @@ def page_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blank_probability(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.transform("embedding", lambda v: F.exp(v.cast("double")))
+    most = F.array_max("embedding").cast("double")
+    x = F.transform("embedding", lambda v: F.exp(v.cast("double") - most))
     share = F.element_at(x, 1) / F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     return table(spark, sf, "embeddings").select("vec_id", (F.floor(share * 1e6 + 0.5) / 1e6).alias("blank"))
 
@@ -127,5 +128,5 @@ SQL = {
     "credit_rows": r"""WITH l0 AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND regexp_matches(x, '(?i)^(by|author|source|license|copyright|contact|published)\b')) AS own FROM documents)
  SELECT doc_id, len(own) AS n, md5(array_to_string(own, chr(10))) AS lines_md5 FROM l0 WHERE len(own) > 0""",
     "page_pieces": "SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '<p[ >]')) AS paragraphs, len(regexp_extract_all(coalesce(html, ''), '<a[ >]')) AS links, len(regexp_extract_all(coalesce(html, ''), '</[a-z0-9]+>')) AS closed FROM pages",
-    "blank_probability": "SELECT vec_id, floor(exp(embedding[1]::DOUBLE) / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS blank FROM embeddings",
+    "blank_probability": "SELECT vec_id, floor(exp(embedding[1]::DOUBLE - list_max(embedding)::DOUBLE) / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS blank FROM embeddings",
 }

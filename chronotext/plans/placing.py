@@ -15,10 +15,10 @@ from chronotext.sources.sheets import table
 query = Registry()
 E_SQL = f"e AS (SELECT user_id, event_type, event_id AS id, {timed.T_SQL} AS t, value FROM events)"
 W_SQL = "(PARTITION BY user_id ORDER BY t, id)"
-IN_TIME = Window.partitionBy("user_id").orderBy("t", "id")
 cents = lambda x: F.floor(x * 100 + 0.5) / 100.0
 micro = lambda x: F.floor(x * 1e6 + 0.5) / 1e6
-BUY = F.col("event_type") == "purchase"
+in_time = lambda: Window.partitionBy("user_id").orderBy("t", "id")
+bought = lambda: F.col("event_type") == "purchase"
 
 
 @query(f"""WITH {E_SQL} SELECT id, CASE WHEN ok THEN 'moved' ELSE 'refused' END AS status, CASE WHEN ok THEN greatest(0.0::DOUBLE, floor((value + 0.25::DOUBLE + d) * 100 + 0.5) / 100.0) ELSE value END AS start
@@ -37,7 +37,7 @@ def line_edits(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {E_SQL} SELECT id, greatest(least(value, high), low) AS start FROM (SELECT *, coalesce(lag(value) OVER w, 0.0::DOUBLE) AS low, coalesce(lead(value) OVER w, 1e9::DOUBLE) AS high FROM e WINDOW w AS {W_SQL})")
 def clamp_between(spark: SparkSession, sf: str) -> DataFrame:
     """Each start brought below the next one's and then above the previous one's."""
-    e = timed._events(spark, sf).withColumn("low", F.coalesce(F.lag("value").over(IN_TIME), F.lit(0.0))).withColumn("high", F.coalesce(F.lead("value").over(IN_TIME), F.lit(1e9)))
+    e = timed._events(spark, sf).withColumn("low", F.coalesce(F.lag("value").over(in_time()), F.lit(0.0))).withColumn("high", F.coalesce(F.lead("value").over(in_time()), F.lit(1e9)))
     return e.select("id", F.greatest(F.least("value", "high"), "low").alias("start"))
 
 
@@ -57,7 +57,7 @@ def even_spread(spark: SparkSession, sf: str) -> DataFrame:
     """A user's units spread evenly from the first start to the last."""
     e = timed._events(spark, sf)
     b = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
-    k = e.select("user_id", "id", (F.row_number().over(IN_TIME) - 1).alias("k"))
+    k = e.select("user_id", "id", (F.row_number().over(in_time()) - 1).alias("k"))
     return k.join(b, "user_id").select("id", micro(F.col("a") + (F.col("b") - F.col("a")) * F.col("k") / F.col("n")).alias("start"))
 
 
@@ -83,14 +83,14 @@ def proportional_cut(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {E_SQL} SELECT id, count(*) FILTER (event_type = 'purchase') OVER w AS known, row_number() OVER w AS place FROM e WINDOW w AS {W_SQL}")
 def prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
     e = timed._events(spark, sf)
-    return e.select("id", F.sum(BUY.cast("long")).over(IN_TIME).alias("known"), F.row_number().over(IN_TIME).cast("long").alias("place"))
+    return e.select("id", F.sum(bought().cast("long")).over(in_time()).alias("known"), F.row_number().over(in_time()).cast("long").alias("place"))
 
 
 @query(f"""WITH {E_SQL}, g AS (SELECT id, lead(value) OVER w - value AS after, value - lag(value) OVER w AS before FROM e WINDOW w AS {W_SQL})
  SELECT id, floor(least(0.5::DOUBLE, greatest(0.12::DOUBLE, 0.25::DOUBLE * coalesce(after, 2.0)), greatest(0.02::DOUBLE, 0.25::DOUBLE * coalesce(before, 2.0))) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS margin FROM g""")
 def relative_margin(spark: SparkSession, sf: str) -> DataFrame:
     """How far a start may move: at most half a second, a quarter of the gaps on its sides."""
-    after, before = F.lead("value").over(IN_TIME) - F.col("value"), F.col("value") - F.lag("value").over(IN_TIME)
+    after, before = F.lead("value").over(in_time()) - F.col("value"), F.col("value") - F.lag("value").over(in_time())
     side = lambda gap, least: F.greatest(F.lit(least), 0.25 * F.coalesce(gap, F.lit(2.0)))
     return timed._events(spark, sf).select("id", micro(F.least(F.lit(0.5), side(after, 0.12), side(before, 0.02))).alias("margin"))
 
@@ -99,15 +99,15 @@ def relative_margin(spark: SparkSession, sf: str) -> DataFrame:
  SELECT id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS low, first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS high FROM k""")
 def floor_and_ceiling(spark: SparkSession, sf: str) -> DataFrame:
     """The last known value up to a unit and the first from it on."""
-    v = F.when(BUY, F.col("value"))
-    low = F.last(v, ignorenulls=True).over(IN_TIME.rowsBetween(Window.unboundedPreceding, 0))
-    return timed._events(spark, sf).select("id", low.alias("low"), F.first(v, ignorenulls=True).over(IN_TIME.rowsBetween(0, Window.unboundedFollowing)).alias("high"))
+    v = F.when(bought(), F.col("value"))
+    low = F.last(v, ignorenulls=True).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
+    return timed._events(spark, sf).select("id", low.alias("low"), F.first(v, ignorenulls=True).over(in_time().rowsBetween(0, Window.unboundedFollowing)).alias("high"))
 
 
 @query(f"""WITH {E_SQL} SELECT user_id, id, t, after - 2500000 AS pulled FROM (SELECT *, row_number() OVER w AS k, lead(t) OVER w AS after FROM e WINDOW w AS {W_SQL}) WHERE k = 1 AND after - t > 2500000""")
 def stranded_first(spark: SparkSession, sf: str) -> DataFrame:
     """First units more than 2.5 seconds before their second, pulled to that distance."""
-    e = timed._events(spark, sf).select("user_id", "id", "t", F.row_number().over(IN_TIME).alias("k"), F.lead("t").over(IN_TIME).alias("after"))
+    e = timed._events(spark, sf).select("user_id", "id", "t", F.row_number().over(in_time()).alias("k"), F.lead("t").over(in_time()).alias("after"))
     return e.where((F.col("k") == 1) & (F.col("after") - F.col("t") > 2_500_000)).select("user_id", "id", "t", (F.col("after") - 2_500_000).alias("pulled"))
 
 
@@ -115,7 +115,7 @@ def stranded_first(spark: SparkSession, sf: str) -> DataFrame:
  SELECT id, stop, least(stop, coalesce(min(t) OVER (PARTITION BY user_id ORDER BY t, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), stop)) AS trimmed FROM s""")
 def trimmed_tails(spark: SparkSession, sf: str) -> DataFrame:
     """Ends brought before every start that follows, in one pass from the right."""
-    following = F.min("t").over(IN_TIME.rowsBetween(1, Window.unboundedFollowing))
+    following = F.min("t").over(in_time().rowsBetween(1, Window.unboundedFollowing))
     e = timed._events(spark, sf).withColumn("stop", F.col("t") + F.floor(F.col("value") * 60_000_000))
     return e.select("id", "stop", F.least("stop", F.coalesce(following, "stop")).alias("trimmed"))
 
@@ -123,7 +123,7 @@ def trimmed_tails(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {E_SQL} SELECT id FROM (SELECT *, lead(event_type) OVER w AS nx, lag(event_type) OVER w AS pv FROM e WINDOW w AS {W_SQL}) WHERE nx IS DISTINCT FROM event_type OR pv IS NULL")
 def single_of_doubled(spark: SparkSession, sf: str) -> DataFrame:
     """Of equal neighbours the last, but a user's leading unit always stays."""
-    e = timed._events(spark, sf).select("id", "event_type", F.lead("event_type").over(IN_TIME).alias("nx"), F.lag("event_type").over(IN_TIME).alias("pv"))
+    e = timed._events(spark, sf).select("id", "event_type", F.lead("event_type").over(in_time()).alias("nx"), F.lag("event_type").over(in_time()).alias("pv"))
     return e.where(~F.col("nx").eqNullSafe(F.col("event_type")) | F.col("pv").isNull()).select("id")
 
 
@@ -155,13 +155,13 @@ def evaluation(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {E_SQL} SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') / count(*) AS heard FROM e GROUP BY ROLLUP (user_id)")
 def share_heard(spark: SparkSession, sf: str) -> DataFrame:
     """The share of pinned units, per user and over all (user null)."""
-    return timed._events(spark, sf).rollup("user_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if(BUY) / F.count(F.lit(1))).alias("heard"))
+    return timed._events(spark, sf).rollup("user_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if(bought()) / F.count(F.lit(1))).alias("heard"))
 
 
 @query(f"""WITH {E_SQL}, g AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') / count(*) AS share, max(t) AS ended FROM e GROUP BY 1)
  SELECT *, CASE WHEN share >= 0.5 THEN 'checked' WHEN share > 0 THEN 'partial' ELSE 'not-found' END AS status FROM g""")
 def coverage_status(spark: SparkSession, sf: str) -> DataFrame:
-    g = timed._events(spark, sf).groupBy("user_id").agg((F.count_if(BUY) / F.count(F.lit(1))).alias("share"), F.max("t").alias("ended"))
+    g = timed._events(spark, sf).groupBy("user_id").agg((F.count_if(bought()) / F.count(F.lit(1))).alias("share"), F.max("t").alias("ended"))
     return g.withColumn("status", F.when(F.col("share") >= 0.5, "checked").when(F.col("share") > 0, "partial").otherwise("not-found"))
 
 
@@ -173,7 +173,7 @@ GATE_SQL = f"""WITH {E_SQL}, s AS (SELECT user_id, value, t - lag(t) OVER {W_SQL
 @query("SELECT * REPLACE (array_to_string(issues, ',') AS issues) FROM (" + GATE_SQL + ")")
 def issue_gate(spark: SparkSession, sf: str) -> DataFrame:
     """A user's issues: starts out of range, not increasing, squeezed under 80 ms, weak, jumps."""
-    s = timed._events(spark, sf).select("user_id", "value", (F.col("t") - F.lag("t").over(IN_TIME)).alias("gap"))
+    s = timed._events(spark, sf).select("user_id", "value", (F.col("t") - F.lag("t").over(in_time())).alias("gap"))
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     v, gap = F.col("value"), F.col("gap")
     g = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), count((v < 0) | (v > 95)).alias("outside"), count(gap <= 0).alias("unordered"), count(gap < 80_000).alias("squeezed"), count(v < 10).alias("weak"), F.max("gap").alias("most"))
@@ -186,7 +186,7 @@ def issue_gate(spark: SparkSession, sf: str) -> DataFrame:
  FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN value END) OVER (PARTITION BY user_id ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS low FROM e)""")
 def clamp_strays(spark: SparkSession, sf: str) -> DataFrame:
     """Starts over a second before the greatest known start up to them are put there."""
-    low = F.max(F.when(BUY, F.col("value"))).over(IN_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    low = F.max(F.when(bought(), F.col("value"))).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
     e = timed._events(spark, sf).withColumn("low", low)
     stray = F.coalesce(F.col("value") < F.col("low") - 1, F.lit(False))
     return e.select("id", F.when(stray, F.col("low")).otherwise(F.col("value")).alias("start"), F.when(stray, "clamped").otherwise("kept").alias("status"))
@@ -220,7 +220,7 @@ def furthest_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """A user's eight furthest units, back in order of time."""
     by_size = Window.partitionBy("user_id").orderBy(F.desc(F.abs(F.col("value") - 50)), "id")
     r = timed._events(spark, sf).where("value is not null").withColumn("k", F.row_number().over(by_size)).where("k <= 8")
-    return r.select("user_id", "id", F.row_number().over(IN_TIME).alias("place"))
+    return r.select("user_id", "id", F.row_number().over(in_time()).alias("place"))
 
 
 @query(f"""WITH {E_SQL}, a AS (SELECT *, bool_and(event_type <> 'view') OVER (PARTITION BY user_id) AS timed FROM e)

@@ -106,9 +106,10 @@ def argmax_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_softmax(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    total = F.log(F.aggregate(F.transform(x, F.exp), F.lit(0.0), lambda a, b: a + b))
-    micro = F.floor((F.array_max(x) - total) * 1e6 + 0.5) / 1e6
+    """The greatest log-probability; the greatest value is taken off first, so none overflows."""
+    most = F.array_max("embedding").cast("double")
+    total = F.log(F.aggregate(F.transform("embedding", lambda v: F.exp(v.cast("double") - most)), F.lit(0.0), lambda a, b: a + b))
+    micro = F.floor(-total * 1e6 + 0.5) / 1e6
     return table(spark, sf, "embeddings").select("vec_id", micro.alias("best"))
 
 
@@ -129,5 +130,5 @@ SQL = {
     "index_blocks": "SELECT conv_id, min(turn) AS first_index, max(turn) AS last_index, count(*) AS n FROM (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE role <> 'user') GROUP BY conv_id, g",
     "bilingual_pairs": "SELECT conv_id, turn, md5(text) AS asked, md5(t) AS answered FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'",
     "argmax_collapse": "WITH a AS (SELECT label, vec_id, list_position(embedding, list_max(embedding))::BIGINT AS token FROM embeddings) SELECT label, vec_id, token FROM (SELECT *, lag(token) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM a) WHERE p IS NULL OR p <> token",
-    "log_softmax": "SELECT vec_id, floor((list_max(embedding)::DOUBLE - ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))))) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS best FROM embeddings",
+    "log_softmax": "SELECT vec_id, floor(-ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)))) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS best FROM embeddings",
 }
