@@ -151,7 +151,8 @@ def format_turns(turns: DataFrame, template: Template = marked_turns, conv_col:
 def read_back(formatted: DataFrame, conv_col: str = "conv_id", read: Callable[[str], list[tuple[str, str]]] = read_turns, unmask: Callable[[str], str] = unescape) -> DataFrame:
     """A row for each conversation of format_turns' result, from its spans alone: conv_col,
     n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites (number of
-    turns). Digests are made as spans stream by."""
+    turns). Digests are made as spans stream by, so the rows must come as format_turns gives
+    them; rows that were dealt anew or sorted otherwise are refused with a ValueError."""
     rows = formatted.select(F.col(conv_col).alias("conv"), "start", "loss_start", "loss_stop", "rewrites", "span")
     kind = StructType([rows.schema["conv"]])
     names = (("n_turns", "bigint"), ("turns_sha256", "string"), ("loss_chars", "bigint"), ("loss_sha256", "string"), ("formatted_chars", "bigint"), ("rewrites", "bigint"))
@@ -162,7 +163,7 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id", read: Callable[[s
         current: object = run
         conv_type, done = pa.null(), []
         turns = loss = None
-        n = loss_n = chars = rewritten = 0
+        n = loss_n = chars = rewritten = reached = 0
 
         def row():
             return current, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars, rewritten
@@ -174,7 +175,11 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id", read: Callable[[s
         for b in batches:
             conv_type = b.column("conv").type
             for conv, start, a, z, rewrites, span in zip(*[c.to_pylist() for c in b.columns]):
-                if current is run or conv != current:
+                fresh = current is run or conv != current
+                if start != 0 if fresh else start < reached and not rewrites:
+                    raise ValueError(f"the turns of conversation {conv} are not in order")
+                reached = start
+                if fresh:
                     if current is not run:
                         done.append(row())
                     current, n, loss_n, chars, rewritten = conv, 0, 0, 0, 0

@@ -102,10 +102,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     document of the part that follows (after the last part: of the first one).
 
     Parts are ranges of ids, cut at quantiles, of which the driver sees at most MOST_RANGES;
-    texts are shuffled once. A null id comes last; rows of equal ids are ordered by text."""
+    texts are shuffled once. A null id comes last; rows of equal ids are ordered by text. Ids
+    are whole numbers; others are refused, as no order of theirs is agreed upon."""
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}, not a whole number")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    ids = rows.select("id", (-F.col("id")).cast("double").alias("place"))
+    ids = rows.select("id", (-F.col("id").cast("double")).alias("place"))
     ranges = int(min(MOST_RANGES, max(2, ids.count() // RANGE_ROWS)))
     cuts = ids.select(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or [0.0]  # no ids, one cut
     bounds = [-math.inf, *sorted(set(cuts)), math.inf]
@@ -117,7 +120,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ghosts = spark.createDataFrame([(r["id"], p) for r, p in zip(firsts, [parts[-1], *parts[:-1]] if parts else [])], "ghost_id long, ghost_part int")
     heads = rows.join(F.broadcast(ghosts), F.col("id").eqNullSafe(F.col("ghost_id"))).groupBy("ghost_part").agg(F.min(F.struct("text", "id")).alias("h"))
     ghost_rows = heads.select(F.col("ghost_part").alias("part"), F.lit(1).alias("ghost"), F.col("h.id").alias("id"), F.col("h.text").alias("text"))
-    own = parted.transform(rows.withColumn("place", (-F.col("id")).cast("double"))).select(part, F.lit(0).alias("ghost"), "id", "text")
+    own = parted.transform(rows.withColumn("place", -F.col("id").cast("double"))).select(part, F.lit(0).alias("ghost"), "id", "text")
     return own.unionByName(ghost_rows).repartition("part").sortWithinPartitions("part", "ghost", F.col("id").desc_nulls_last(), "text")
 
 

@@ -51,3 +51,10 @@ def test_sketch_against_full_sets():
     assert abs(near - both) < 0.06 and abs(inside - 1996 / 2996) < 0.06
     assert (fingerprints.read_from(fingerprints.written_as(x)) == x).all()
     assert len(fingerprints.merged(x, y)) == len(set(x.tolist()) | set(y.tolist()))
+
+
+def test_least_id_and_other_ids(spark):
+    rows = [(-(2**63), "a b c d e f"), (2**63 - 1, "g h i j k l"), (0, "a b c d e f")]
+    assert compared(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+    with pytest.raises(TypeError):
+        fingerprints.compare_with_next(spark.createDataFrame([("x", "y")], "doc_id string, text string"))

@@ -166,6 +166,12 @@ def test_chat_round_trip_and_rewriting(spark):
     assert chat_format.format_turns(df.where("false")).count() == 0
 
 
+def test_chat_refuses_rows_out_of_order(spark):
+    df = spark.createDataFrame([(c, i, "assistant", f"text {i}") for c in range(3) for i in range(12)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="not in order"):
+        chat_format.read_back(chat_format.format_turns(df).repartition(3)).collect()
+
+
 def test_chat_template_sees_whole_history(spark):
     turns = [("system", "s")] + [("user" if i % 2 else "assistant", f"t{i}") for i in range(1, 30)]
     df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
