@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotext.plans import aligned, placing, sheetwork, texts, timed
+from chronotext.plans import aligned, placing, scans, sheetwork, texts, timed
 
 FLAGSHIP = "passage_containment"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return texts.QUERIES | timed.QUERIES | aligned.QUERIES | placing.QUERIES | sheetwork.QUERIES
+    return texts.QUERIES | timed.QUERIES | aligned.QUERIES | placing.QUERIES | sheetwork.QUERIES | scans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return texts.SQL | timed.SQL | aligned.SQL | placing.SQL | sheetwork.SQL
+    return texts.SQL | timed.SQL | aligned.SQL | placing.SQL | sheetwork.SQL | scans.SQL
