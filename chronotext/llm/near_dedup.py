@@ -19,7 +19,8 @@
 The radius follows from percent: at just that similarity the distance is binomial and exceeds
 it with a chance of at most MISSED (23 of 64 for 85 percent, 28 for 80); everything else is
 exact. Only keys, signatures and candidates' sets are
-shuffled; a text is shuffled once at most, to bring it to its class if that is a candidate.
+shuffled; of each class that is a candidate one text is, and few others (a filter of a fixed
+size is asked first).
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ BLOCK, SHINGLES = 4096, 512
 MANY = 1024
 #: Pairs that are compared at once.
 PAIRS = 1 << 16
+#: Bitmaps of the filter that keeps texts of no candidate out of the shuffle, 4 KiB each: 8 MiB
+#: at any size of the input. A full filter lets all texts through; the join decides.
+BITMAPS, BITS = 2048, 32_768
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**64, PLACES, dtype=np.uint64)
@@ -365,12 +369,24 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key").withColumn("part", F.explode(part)).drop("major", "nb", "mb")
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """rows without most of those whose value of the column `on` is not in wanted; all whose
+    value is in wanted stay. wanted is folded to BITMAPS bitmaps, whose size doesn't grow."""
+    spot = F.xxhash64(on)
+    at, bit = F.pmod(F.shiftright(spot, 20), F.lit(BITMAPS)), F.pmod(spot, F.lit(BITS)).cast("int")
+    maps = wanted.select(at.alias("_at"), bit.cast("long").alias("_bit")).groupBy("_at").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    dealt = rows.withColumn("_at", at).withColumn("_bit", bit)
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = dealt.join(F.broadcast(maps), "_at").withColumn("_byte", byte)
+    return held.where("shiftright(_byte, _bit % 8) % 2 = 1").select(*rows.columns)
+
+
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): a row (id, text_key, n_shingles, hi, lo) for each document, and for
     each set of shingles a class (hi, lo, node, comp) with its component."""
     signed = common.written(sign(docs, id_col, text_col), "near-signed")
     rows = signed.drop("sig")
-    once = signed.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    once = signed.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("text_key", F.xxhash64("id").alias("pick"))).alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = common.written(once.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     keys = classes.select("node", "sig").mapInArrow(_keys(radius_of(percent)), "key long, place int, node long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -380,9 +396,9 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sets_of(nodes: DataFrame, name: str) -> DataFrame:
         """The full sets of nodes, from the text of one document of each class."""
         text = common.text_of(text_col)
-        texts = docs.select(text_key(text).alias("text_key"), text.alias("text"))
-        wanted = common.written(nodes.join(classes.select("node", "text_key"), "node"), f"{name}-wanted")
-        one = texts.join(wanted, "text_key").dropDuplicates(["node"])
+        texts = docs.select(F.struct(text_key(text).alias("text_key"), F.xxhash64(id_col).alias("pick")).alias("doc"), text.alias("text"))
+        wanted = common.written(nodes.join(classes.select("node", "doc"), "node"), f"{name}-wanted")
+        one = _maybe_in(texts, wanted, "doc").join(wanted, "doc").dropDuplicates(["node"])
         return common.written(one.select("node", "text").mapInArrow(_sets, "node long, own binary"), name)
 
     # keys of many members: nearest partners, block by block

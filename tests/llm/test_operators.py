@@ -115,6 +115,17 @@ def test_family_of_unlinked_near_pairs(spark, monkeypatch, block, many):
         assert counts["near-links"] <= 10 * len(rows) and counts["near-owned"] <= counts["near-members"]
 
 
+def test_filter_loses_nothing(spark, monkeypatch):
+    rows = spark.range(5000).select(F.struct("id", F.xxhash64("id").alias("pick")).alias("doc"), "id")
+    wanted = rows.where("id % 9 = 0").select("doc")
+    for bitmaps, most in ((2048, 600), (1, 1500)):
+        monkeypatch.setattr(near_dedup, "BITMAPS", bitmaps)
+        stay = near_dedup._maybe_in(rows, wanted, "doc")
+        assert wanted.join(stay, "doc", "left_anti").isEmpty() and stay.columns == rows.columns
+        assert stay.count() <= most
+    assert near_dedup._maybe_in(rows, wanted.where("false"), "doc").isEmpty()
+
+
 def test_pipeline_near_copies(spark):
     import corpus_pipeline
 
