@@ -33,3 +33,27 @@ def seconds_of(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, r"(\d+):(\d{1,2})(?:[.:](\d{1,3}))?", i)
     fraction = F.when(part(3) == "", F.lit(0.0)).otherwise(part(3).cast("double") / F.pow(F.lit(10.0), F.length(part(3))))
     return F.when(part(1) != "", part(1).cast("double") * 60 + part(2).cast("double") + fraction)
+
+
+#: Fixed value: a stamp inside a row, hundredths after : or, in older files, after a point.
+INNER = r"\[\d+:\d{2}[:.]\d{2,3}\]"
+
+
+def timed_parts(text: Column, origin: float = 0.0, last_end: Column | None = None) -> Column:
+    """The pieces (text, start, end) between stamps, in order and without empty ones.
+
+    A piece runs from its stamp to the next one, what leads the first stamp from the origin on.
+    After the last stamp a piece ends at last_end, or where it starts if that is null; a null
+    text gives null, an empty one no pieces."""
+    at = F.transform(F.regexp_extract_all(text, F.lit(f"({INNER})"), F.lit(1)), lambda s: seconds_of(s) + origin)
+    starts = F.concat(F.array(F.lit(origin)), at)
+    after = F.element_at(starts, -1) if last_end is None else F.coalesce(last_end, F.element_at(starts, -1))
+    dealt = F.arrays_zip(F.split(text, INNER).alias("text"), starts.alias("start"), F.concat(at, F.array(after)).alias("end"))
+    return F.filter(dealt, lambda p: p["text"] != "")
+
+
+def tagged(parts: Column, last_end: Column) -> Column:
+    """The row that ``timed_parts`` reads: [mm:ss:cc] before each piece (text, start), and one
+    at the end. Rows whose pieces hold [ or ] give null, as they would be read differently."""
+    row = F.concat(F.array_join(F.transform(parts, lambda p: F.concat(stamp(p["start"], ":"), p["text"])), ""), stamp(last_end, ":"))
+    return F.when(~F.exists(parts, lambda p: p["text"].rlike(r"[\[\]]")), row)

@@ -53,6 +53,26 @@ def pairing_cost(a, b) -> int:
     return int(_least_costs(x, y, SPARE * np.arange(len(y) + 1), MISS, SPARE, MISS + SPARE)[-1])
 
 
+def pairs_in_order(a, b) -> list[tuple[int, int]]:
+    """The places (in a, in b) of equal symbols that a pairing of least cost joins, ascending;
+    of several such pairings the one that reaches least far into b at the middle of a. Halves a
+    again and again, so only lines of the table are held."""
+    x, y = _codes(a, b)
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a1 - a0 == 1:
+            same = np.flatnonzero(y[b0:b1] == x[a0])
+            out += [(a0, b0 + int(same[0]))] if len(same) else []
+        elif a0 < a1 and b0 < b1:
+            middle, edge = (a0 + a1) // 2, SPARE * np.arange(b1 - b0 + 1)
+            before = _least_costs(x[a0:middle], y[b0:b1], edge, MISS, SPARE, MISS + SPARE)
+            after = _least_costs(x[middle:a1][::-1], y[b0:b1][::-1], edge, MISS, SPARE, MISS + SPARE)[::-1]
+            cut = b0 + int((before + after).argmin())
+            todo += [(middle, a1, cut, b1), (a0, middle, b0, cut)]
+    return out
+
+
 def _longest_block(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """(place in a, place in b, length) of the longest equal stretch, of equally long ones the
     first in a, then in b."""
@@ -96,4 +116,5 @@ def _column(how, kind: str):
 
 def columns() -> dict:
     """name -> function of two array columns, made for the running session."""
-    return {"distance_within": _column(distance_within, "double"), "pairing_cost": _column(pairing_cost, "long"), "covered_in_order": _column(covered_in_order, "double")}
+    flat = lambda a, b: [p for pair in pairs_in_order(a, b) for p in pair]
+    return {"pairs_in_order": _column(flat, "array<int>"), "distance_within": _column(distance_within, "double"), "pairing_cost": _column(pairing_cost, "long"), "covered_in_order": _column(covered_in_order, "double")}
