@@ -19,8 +19,8 @@
 The radius follows from percent: at just that similarity the distance is binomial and exceeds
 it with a chance of at most MISSED (23 of 64 for 85 percent, 28 for 80); everything else is
 exact. Only keys, signatures and candidates' sets are
-shuffled; of each class that is a candidate one text is, and few others (a filter of a fixed
-size is asked first).
+shuffled; of each class that is a candidate one text is, and those others that a filter of
+a fixed size lets through: few as long as it isn't full, all once it is.
 """
 
 from __future__ import annotations
