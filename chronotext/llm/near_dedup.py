@@ -123,7 +123,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("text_key"), text.alias("text"))
     long = [StructField(c, LongType()) for c in ("n_shingles", "hi", "lo")]
     kind = StructType([StructField("id", rows.schema["id"].dataType), StructField("text_key", BinaryType()), *long]).add("sig", "binary")
-    return rows.mapInArrow(_sign, kind)
+    return rows.mapInArrow(common.tidied(_sign), kind)
 
 
 def _keys(radius: int):
@@ -337,7 +337,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+    return both.mapInArrow(common.tidied(_confirm(percent)), "a long, b long")
 
 
 def _labelled(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -388,7 +388,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = signed.drop("sig")
     once = signed.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("text_key", F.xxhash64("id").alias("pick"))).alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = common.written(once.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    keys = classes.select("node", "sig").mapInArrow(_keys(radius_of(percent)), "key long, place int, node long")
+    keys = classes.select("node", "sig").mapInArrow(common.tidied(_keys(radius_of(percent))), "key long, place int, node long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = common.written(keys.join(shared, "key"), "near-members")
     info = classes.select("node", "n_shingles", "sig")
@@ -399,7 +399,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = docs.select(F.struct(text_key(text).alias("text_key"), F.xxhash64(id_col).alias("pick")).alias("doc"), text.alias("text"))
         wanted = common.written(nodes.join(classes.select("node", "doc"), "node"), f"{name}-wanted")
         one = _maybe_in(texts, wanted, "doc").join(wanted, "doc").dropDuplicates(["node"])
-        return common.written(one.select("node", "text").mapInArrow(_sets, "node long, own binary"), name)
+        return common.written(one.select("node", "text").mapInArrow(common.tidied(_sets), "node long, own binary"), name)
 
     # keys of many members: nearest partners, block by block
     links = roots = None
@@ -415,7 +415,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         part = F.pmod(F.xxhash64("node", F.lit(0 if links is None else 1)), F.ceil(F.col("n") / BLOCK).cast("long"))
         dealt = one.drop("comp").join(fits, "key").join(info, "node").withColumn("part", part).drop("n")
-        found = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_nearest(percent), "a long, b long, distance long")
+        found = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(common.tidied(_nearest(percent)), "a long, b long, distance long")
         best = common.written(found.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x")).select("a", F.col("x.b").alias("b")), "near-best")
         sets = sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-sets")
         more = common.written(_confirmed(best, sets, percent), "near-links")
@@ -431,10 +431,10 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # all keys: full sets meet at the owners of pairs
     rest = _blocks(members.select("key", "place", "node").join(_labelled(classes.select("node", "n_shingles"), roots), "node"))
     dealt = rest.join(info.select("node", "sig"), "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    owned = common.written(dealt.mapInArrow(_owned(percent), "key long, part long, node long, comp long, n_shingles long"), "near-owned")
+    owned = common.written(dealt.mapInArrow(common.tidied(_owned(percent)), "key long, part long, node long, comp long, n_shingles long"), "near-owned")
     sets = sets_of(owned.select("node").distinct(), "near-sets")
     held = owned.drop("n_shingles").join(sets, "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    more = common.written(held.mapInArrow(_joins(percent), "a long, b long"), "near-links")
+    more = common.written(held.mapInArrow(common.tidied(_joins(percent)), "a long, b long"), "near-links")
     common.forget(sets, owned, members)
     if not more.isEmpty():
         links = more if links is None else links.unionByName(more)

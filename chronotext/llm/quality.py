@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from . import common
+
 #: Documented bound of the labelled rows that are used for fitting.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, SMOOTH, LEAST_WEIGHT = 120, 4, 0.1, 64, 1.0, 2.0
@@ -171,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    measured = rows.mapInArrow(_measure, StructType([rows.schema["id"]]).add("label", "integer").add("features", ArrayType(DoubleType())))
+    measured = rows.mapInArrow(common.tidied(_measure), StructType([rows.schema["id"]]).add("label", "integer").add("features", ArrayType(DoubleType())))
     got = measured.groupBy("id").agg(F.min("features").alias("features"), F.min("label").alias("label")).orderBy("id").collect()
     x = np.array([r["features"] for r in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["label"] for r in got], float))
@@ -186,7 +188,7 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(trees.score(_measured(batch.column("text"))))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, StructType([rows.schema["id"]]).add("score", "double")).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.tidied(run), StructType([rows.schema["id"]]).add("score", "double")).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -199,4 +201,4 @@ def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", threshold:
 
     text_at = docs.columns.index(text_col)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(run, rows.schema).select("row.*")
+    return rows.mapInArrow(common.tidied(run), rows.schema).select("row.*")

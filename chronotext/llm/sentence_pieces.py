@@ -329,7 +329,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = StructType([rows.schema["id"]])
     for name, t in (("ids", "array<int>"), ("n_tokens", "bigint"), ("decoded_sha256", "string"), ("exact", "boolean")):
         kind = kind.add(name, common.spark_type(t))
-    return rows.mapInArrow(_coded(shared, path), kind).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.tidied(_coded(shared, path)), kind).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -345,7 +345,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, StructType([rows.schema["id"]]).add("text", "string")).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.tidied(run), StructType([rows.schema["id"]]).add("text", "string")).withColumnRenamed("id", id_col)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

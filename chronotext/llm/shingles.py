@@ -40,10 +40,10 @@ def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     """base ** 0 ... base ** (n - 1); kept for slices, made anew for longer texts."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * SLICE), base, np.uint64)
+        have = np.full(max(n, SLICE), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 2 * SLICE:
+        if n <= SLICE:
             _powers[name] = have
     return have[:n]
 
