@@ -35,7 +35,7 @@ PENALTY = 10.0
 #: Places of a double array that are tried at once.
 CHUNK = 1024
 #: Words that a process remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
