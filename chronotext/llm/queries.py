@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, common, exact_dedup, fingerprints, mixing, near_dedup, quality, secret_scan, sentence_pieces, substring_dedup, token_table
+from . import chat_format, common, exact_dedup, fingerprints, mixing, near_dedup, prefix_trie, quality, resampling, secret_scan, sentence_pieces, substring_dedup, token_table, url_filter
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 NORM_SQL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -151,9 +151,93 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 """
 
 
+#: The rules of op11's contract: (verdict, host and path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(common.table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+def _op11_sql() -> str:
+    """The same counts, estimates and threshold, each as a table."""
+    k, least = url_filter.ORDER, url_filter.LEAST_SEEN
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    case = lambda own: "CASE " + " ".join(f"WHEN {fits(r.split('/')[0], r[len(r.split('/')[0]):])} THEN '{v if own else r}'" for v, r in longest) + " END"
+    mixed = lambda c, below: f"CASE WHEN coalesce(n{c}, 0) >= {least} THEN (coalesce(c.{c}, 0) + t{c} * {below}) / (n{c} + t{c}) ELSE {below} END AS p{c}"
+    levels = []
+    for n in range(1, k + 2):
+        below = {c: f"b.p{c}" if n > 1 else "1.0::DOUBLE / (SELECT count(*) + 1 FROM counts WHERE length(gram) = 1)" for c in "ab"}
+        levels.append(f"""p{n} AS (SELECT w.gram, {mixed('a', below['a'])}, {mixed('b', below['b'])} FROM (SELECT DISTINCT right(gram, {n}) AS gram FROM symbols) w
+          LEFT JOIN counts c ON c.gram = w.gram LEFT JOIN contexts x ON x.context = w.gram[:-2] AND x.n = {n} {f"JOIN p{n - 1} b ON b.gram = w.gram[2:]" if n > 1 else ""})""")
+    return rf"""
+WITH u AS (SELECT page_id, row_number() OVER () AS uid, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '{url_filter.HOST}', 1), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}') AS host, regexp_extract(coalesce(url, ''), '{url_filter.PATH}', 1) AS path FROM pages),
+r AS (SELECT *, {case(False)} AS rule, {case(True)} AS verdict, substr(md5(url), 1, 1) IN ('0', '1') AS held FROM u),
+g AS (SELECT uid, rule, verdict, held, unnest(list_transform(range(1, length(url) + 2), lambda i: substr(repeat(chr(2), {k}) || url || chr(3), i, {k + 1}))) AS gram FROM r),
+counts AS (SELECT right(gram, e.n::BIGINT) AS gram, (count(*) FILTER (verdict = 'allow'))::BIGINT AS a, (count(*) FILTER (verdict = 'block'))::BIGINT AS b FROM g, range(1, {k + 2}) e(n) WHERE rule IS NOT NULL AND NOT held GROUP BY 1),
+contexts AS (SELECT gram[:-2] AS context, length(gram) AS n, sum(a)::BIGINT AS na, sum(b)::BIGINT AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM counts GROUP BY 1, 2),
+symbols AS (SELECT uid, gram FROM g WHERE rule IS NULL OR held),
+{", ".join(levels)},
+s AS (SELECT uid, greatest(-{url_filter.FARTHEST}, least({url_filter.FARTHEST}, floor(sum(floor((ln(pa) - ln(pb)) * {url_filter.UNIT} + 0.5)::BIGINT) / (count(*) * {url_filter.UNIT / 1000}))))::BIGINT AS score FROM symbols JOIN p{k + 1} USING (gram) GROUP BY uid),
+h AS (SELECT score, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM r JOIN s USING (uid) WHERE held AND rule IS NOT NULL GROUP BY 1 UNION ALL SELECT 0, 0, 0),
+t AS (SELECT score, (sum(a) OVER (ORDER BY score RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT * sum(b) OVER () + (sum(b) OVER () - sum(b) OVER (ORDER BY score RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT * sum(a) OVER () AS right_ones, sum(a) OVER () AS a, sum(b) OVER () AS b FROM h),
+l AS (SELECT CASE WHEN max(a) = 0 OR max(b) = 0 THEN 0 ELSE arg_min(score, (-right_ones, abs(score), score)) END AS least FROM t)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN score >= least THEN 'allow' ELSE 'block' END AS verdict, CASE WHEN rule IS NULL THEN score END AS score FROM r LEFT JOIN s USING (uid), l
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a text's bytes; the byte table is column of the one-row table crc_table."""
+    byte = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::BIGINT, 2))::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])))"
+
+
+CRC_TABLE = "crc_table AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crcs FROM range(256) t(b))"
+OP12_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS own FROM documents),
+f AS (SELECT uid, w, count(*) AS n FROM (SELECT uid, unnest(own) AS w FROM d) GROUP BY ALL),
+g AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY ALL),
+b AS (SELECT w, {_crc_sql("w")} % {resampling.BUCKETS} AS bucket FROM (SELECT w FROM f UNION SELECT w FROM g), crc_table),
+c AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM (SELECT w, n AS s, 0 AS t FROM f UNION ALL SELECT w, 0, n FROM g) JOIN b USING (w) GROUP BY 1),
+k AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {resampling.BUCKETS}) / ((s + 1)::DOUBLE * (sum(t) OVER () + {resampling.BUCKETS}))))::BIGINT AS gain FROM c),
+w AS (SELECT uid, sum(n * gain)::BIGINT AS weight FROM f JOIN b USING (w) JOIN k USING (bucket) GROUP BY 1),
+s AS (SELECT uid, doc_id, len(own)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (uid)),
+r AS (SELECT uid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM s WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {resampling.PERCENT} * n // 100 THEN rank END AS rank FROM s LEFT JOIN r USING (uid)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(common.table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place, (coalesce(role, ''), coalesce(text, '')) AS item FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, conv_id - conv_id % {prefix_trie.FAMILY} AS base, {_crc_sql("conv_id::VARCHAR")} % {prefix_trie.MOST_SHARED + 1} AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+l AS (SELECT conv_id, list(item ORDER BY place) AS items FROM t GROUP BY 1),
+r AS (SELECT i.conv_id, coalesce(b.items[:h], []) || o.items[h + 1:] AS items FROM i JOIN l o USING (conv_id) LEFT JOIN l b ON b.conv_id = i.base),
+m AS (SELECT conv_id, unnest(range(0, len(items) + 1)) AS depth, items FROM r),
+n AS (SELECT items[:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(octet_length(encode(items[depth][2])), 0) AS size,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(items) = depth), '')) AS ends_sha256 FROM (SELECT conv_id, items, depth, items[:depth] AS prefix FROM m) GROUP BY ALL),
+k AS (SELECT *, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.prefix[:n.depth] = n.prefix) AS n_children FROM n)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.n_leaves, s.saved_tokens, a.ends_sha256
+FROM k a LEFT JOIN n p ON p.depth = a.depth - 1 AND p.prefix = a.prefix[:a.depth - 1]
+JOIN (SELECT u.prefix, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.size)::BIGINT AS saved_tokens FROM n u JOIN k v ON v.depth >= u.depth AND v.prefix[:u.depth] = u.prefix GROUP BY 1) s ON s.prefix = a.prefix
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_chat_format": op2_chat_format, "op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op5_sentence_pieces": op5_sentence_pieces, "op6_exact_dedup": op6_exact_dedup, "op7_fingerprints": op7_fingerprints, "op8_token_table": op8_token_table, "op9_secret_scan": op9_secret_scan, "op10_quality_classifier": op10_quality_classifier}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_chat_format": op2_chat_format, "op3_mixing": op3_mixing, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op5_sentence_pieces": op5_sentence_pieces, "op6_exact_dedup": op6_exact_dedup, "op7_fingerprints": op7_fingerprints, "op8_token_table": op8_token_table, "op9_secret_scan": op9_secret_scan, "op10_quality_classifier": op10_quality_classifier, "op11_url_filter": op11_url_filter, "op12_importance_resampling": op12_importance_resampling, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op9_secret_scan": _op9_sql()}
+    return {"op2_chat_format": OP2_SQL, "op3_mixing": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op9_secret_scan": _op9_sql(), "op11_url_filter": _op11_sql(), "op12_importance_resampling": OP12_SQL, "op13_prefix_trie": OP13_SQL}
