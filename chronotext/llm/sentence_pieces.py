@@ -9,11 +9,14 @@ is written as a marker, and a marker is put before the text; decoding undoes bot
 In the files at hand no piece has a marker after another character, so a text's best path
 consists of those of its words with the markers before them. Words are encoded once for as
 long as a process remembers them, many at a time: all words' states walk the trie together.
+A long word goes byte by byte, and what all its open paths share is settled as it goes, so its
+back pointers span a stretch and not the word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -34,8 +37,11 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 PENALTY = 10.0
 #: Places of a double array that are tried at once.
 CHUNK = 1024
-#: Words that a process remembers before it starts anew.
-REMEMBERED = 150_000
+#: Bytes of words and ids that a process remembers before it starts anew, about; longer words
+#: are not remembered, and are encoded in stretches of so many bytes.
+REMEMBERED, LONG_WORD, STRETCH = 12 << 20, 256, 1 << 14
+#: Words of a text that are looked up at once.
+AT_ONCE = 1 << 17
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -160,8 +166,8 @@ class Model:
     def viterbi(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word's best path; of equal paths the one with longer first pieces
         at the last place where they differ."""
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        found: list[list[int]] = [[]] * len(words)
+        found: list[list[int]] = [self._long(w) if len(w) > LONG_WORD else [] for w in words]
+        order = sorted((i for i, w in enumerate(words) if len(w) <= LONG_WORD), key=lambda i: len(words[i]))
         at = 0
         while at < len(order):
             stop = at
@@ -232,6 +238,72 @@ class Model:
             out.append(ids)
         return out
 
+    def _written(self, word: bytes, start: int, stop: int, came: dict[int, int], made: dict[int, int]) -> list[int]:
+        """The ids of the path from start to stop, whose back pointers go."""
+        ids, p = [], stop
+        while p > start:
+            q, own = came.pop(p), made.pop(p)
+            if own >= 0:
+                ids.append(own)
+            elif self.bytes:
+                ids += [self.bytes[c] for c in reversed(word[q:p])]
+            else:
+                ids.append(self.unknown)
+            p = q
+        ids.reverse()
+        return ids
+
+    def _long(self, word: bytes) -> list[int]:
+        """The ids of one word's best path, with the same ties as ``_viterbi``."""
+        base, check, piece, scores = (memoryview(np.ascontiguousarray(x)) for x in (self.trie.base, self.trie.check, self.trie.piece, self.scores))
+        ids: list[int] = []
+        best, came, made = {0: 0.0}, {}, {}
+        start, least, n = 0, float("-inf"), len(word)
+        for p in range(n):
+            own = best.pop(p, None)
+            if own is None:
+                continue
+            lead = word[p]
+            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            single, s, q = False, 0, p
+            while q < n:
+                t = base[s] + word[q]
+                if check[t] != s:
+                    break
+                s, q = t, q + 1
+                k = piece[s]
+                if k >= 0:
+                    single |= q - p == width
+                    if own + scores[k] > best.get(q, least):
+                        best[q], came[q], made[q] = own + scores[k], p, k
+            if not single and own + self.unknown_score > best.get(p + width, least):
+                best[p + width], came[p + width], made[p + width] = own + self.unknown_score, p, -2
+            if p % STRETCH == STRETCH - 1 and p + 1 < n:
+                ends = [-x for x in best]  # the last place that all open paths go through
+                heapq.heapify(ends)
+                open_ends = set(ends)
+                while len(open_ends) > 1:
+                    open_ends.discard(x := heapq.heappop(ends))
+                    if (y := -came[-x]) not in open_ends:
+                        open_ends.add(y)
+                        heapq.heappush(ends, y)
+                at = -open_ends.pop()
+                if at > start:
+                    kept = {x: (came[x], made[x]) for x in self._open(best, came, at)}
+                    ids += self._written(word, start, at, came, made)
+                    came, made, start = {x: c for x, (c, _) in kept.items()}, {x: m for x, (_, m) in kept.items()}, at
+        return ids + self._written(word, start, n, came, made)
+
+    @staticmethod
+    def _open(best: dict[int, float], came: dict[int, int], at: int) -> set[int]:
+        """The places after at on the paths to best."""
+        found: set[int] = set()
+        for x in best:
+            while x > at and x not in found:
+                found.add(x)
+                x = came[x]
+        return found
+
     def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of lists of ids that lie one after another, counts[i] of them each."""
         begin = self.text_starts[ids]
@@ -251,45 +323,54 @@ _ODD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Encoder:
+    """Encodes texts; words that it has met, with a marker before them or as they stand, are
+    remembered up to REMEMBERED bytes, and what one call needs besides."""
+
     def __init__(self, model: Model):
         self.model, self.spaced, self.odd = model, WordCache(), WordCache()
 
-    def _learn(self, cache: WordCache, words: set[str], before: str) -> None:
+    def _bounded(self) -> None:
+        if self.spaced.held + self.odd.held > REMEMBERED:
+            self.spaced, self.odd = WordCache(), WordCache()
+
+    def _learn(self, words: set[str], spaced: bool) -> WordCache:
+        """The cache, which has words from now on."""
+        cache, before = (self.spaced, MARK) if spaced else (self.odd, "")
         ordered = sorted(words)
         for word, ids in zip(ordered, self.model.viterbi([(before + w).encode("utf-8", "replace") for w in ordered])):
             cache.add(word, ids)
+        return cache
+
+    def _in_parts(self, pieces: list[str], spaced: bool) -> np.ndarray:
+        found = []
+        for i in range(0, len(pieces), AT_ONCE):
+            self._bounded()
+            part = pieces[i : i + AT_ONCE]
+            known = (self.spaced if spaced else self.odd).number
+            cache = self._learn({p for p in part if p not in known}, spaced)
+            found.append(cache.ids([cache.number[p] for p in part]))
+        return np.concatenate(found)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; none for an empty one."""
         if not self.model.splits:
             marked = [(MARK + t.replace(" ", MARK)).encode("utf-8", "replace") for t in texts]
             return [np.array(self.model.viterbi([m])[0] if t else [], np.uint32) for t, m in zip(texts, marked)]
-        if len(self.spaced) + len(self.odd) > REMEMBERED:
-            self.spaced, self.odd = WordCache(), WordCache()
         plan = []
-        lacking: set[str] = set()
-        strange: set[str] = set()
-        get, get_odd = self.spaced.number.get, self.odd.number.get
         for text in texts:
-            pieces = text.split(" ")
-            if not text:
-                plan.append((self.spaced, []))
-            elif "" in pieces or MARK in text:
-                pieces = _ODD.findall(MARK + text.replace(" ", MARK))
-                strange.update(p for p in pieces if get_odd(p) is None)
-                plan.append((self.odd, pieces))
-            else:
-                numbers = [get(p, -1) for p in pieces]
-                if -1 in numbers:
-                    lacking.update(p for p, k in zip(pieces, numbers) if k < 0)
-                    plan.append((self.spaced, pieces))
-                else:
-                    plan.append((None, numbers))
-        if lacking:
-            self._learn(self.spaced, lacking, MARK)
-        if strange:
-            self._learn(self.odd, strange, "")
-        return [self.spaced.ids(p) if cache is None else cache.ids([cache.number[x] for x in p]) for cache, p in plan]
+            pieces = text.split(" ") if text else []
+            spaced = "" not in pieces and MARK not in text
+            pieces = pieces if spaced else _ODD.findall(MARK + text.replace(" ", MARK))
+            plan.append((spaced, self._in_parts(pieces, spaced) if len(pieces) > AT_ONCE else pieces))
+        self._bounded()
+        for spaced in (True, False):
+            known = (self.spaced if spaced else self.odd).number
+            self._learn({p for own, x in plan if own == spaced and isinstance(x, list) for p in x if p not in known}, spaced)
+        out = []
+        for spaced, x in plan:
+            cache = self.spaced if spaced else self.odd
+            out.append(cache.ids([cache.number[p] for p in x]) if isinstance(x, list) else x)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -321,7 +402,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     decoded_sha256 is the digest of the text that the ids decode to, exact whether it is the
     original one; it is unless the text has the marker's own character. A null text
-    counts as empty and has no ids. Rows are independent, so ids of documents may repeat or
+    counts as empty and has no ids. A long text is encoded whole, in parts of AT_ONCE words, and
+    a long word in stretches. Rows are independent, so ids of documents may repeat or
     be null. An empty table gives no rows."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Model(read_pieces(path)))

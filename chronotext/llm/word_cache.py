@@ -8,6 +8,7 @@ import numpy as np
 class WordCache:
     def __init__(self):
         self.number: dict[str, int] = {}
+        self.held = 0  # bytes, about
         self._starts, self._flat, self._used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     def __len__(self) -> int:
@@ -23,6 +24,7 @@ class WordCache:
         self._used += len(ids)
         self._starts[k + 1] = self._used
         self.number[word] = k
+        self.held += 120 + len(word) + 4 * len(ids)
 
     def ids(self, numbers: list[int]) -> np.ndarray:
         """The ids of words, by their numbers, one after another."""
