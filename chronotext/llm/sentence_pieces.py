@@ -39,7 +39,7 @@ PENALTY = 10.0
 CHUNK = 1024
 #: Bytes of words and ids that a process remembers before it starts anew, about; longer words
 #: are not remembered, and are encoded in stretches of so many bytes.
-REMEMBERED, LONG_WORD, STRETCH = 12 << 20, 256, 1 << 14
+REMEMBERED, LONG_WORD, STRETCH = 32 << 20, 256, 1 << 14
 #: Words of a text that are looked up at once.
 AT_ONCE = 1 << 17
 
