@@ -14,10 +14,10 @@ HIRAGANA = "".join(chr(c - 0x60) for c in range(0x30A1, 0x30F7))
 
 #: The romanisation of a Hangul syllable's first sound, vowel, last sound at the
 #: end, and last sound carried over to a vowel that follows.
-FIRST = "g kk n d tt r m b pp s ss - j jj ch k t p h".replace("-", "").split(" ")
-VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(" ")
-LAST = "- k k k n n n t l k m l l l p l m p p t t ng t t k t p t".replace("-", "").split(" ")
-CARRIED = "- g kk ks n nj n d r lg m lb ls lt lp r m b bs s ss ng j ch k t p h".replace("-", "").split(" ")
+FIRST = ("g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h")
+VOWEL = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i")
+LAST = ("", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t")
+CARRIED = ("", "g", "kk", "ks", "n", "nj", "n", "d", "r", "lg", "m", "lb", "ls", "lt", "lp", "r", "m", "b", "bs", "s", "ss", "ng", "j", "ch", "k", "t", "p", "h")
 SYLLABLES, SILENT, NG = 0xAC00, 11, 21
 
 
