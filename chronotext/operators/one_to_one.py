@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import bisect
+from collections import deque
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.operators.sequences import islands
+from chronotext.operators.folds import folded
 
 
 def first_in_band(left: DataFrame, right: DataFrame, by: list[str], tolerance: int) -> DataFrame:
@@ -40,22 +41,37 @@ def greedy_pairs(left: list[tuple[int, int]], right: list[tuple[int, int]], tole
     return out
 
 
+class _Greedy:
+    """Left rows that wait for the rows after them, and free right rows they may still reach."""
+
+    def __init__(self, tolerance: int):
+        self.tolerance, self.waiting, self.free = tolerance, deque(), []
+
+    def _match(self) -> list[tuple]:
+        t, own = self.waiting.popleft()
+        del self.free[: bisect.bisect_left(self.free, (t - self.tolerance,))]  # no later row reaches them
+        found = greedy_pairs([(t, own)], self.free, self.tolerance)
+        for _, match, _ in found:
+            self.free.remove(next(x for x in self.free if x[1] == match))
+        return found
+
+    def take(self, row: tuple) -> list[tuple]:
+        t, side, own = row
+        out = []
+        while self.waiting and t > self.waiting[0][0] + self.tolerance:
+            out += self._match()
+        (self.free if side else self.waiting).append((t, own))
+        return out
+
+    def end(self) -> list[tuple]:
+        return [x for _ in range(len(self.waiting)) for x in self._match()]
+
+
 def greedy_nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance: int) -> DataFrame:
     """(by, left_id, right_id, gap) of a greedy one-to-one matching in order of left's time.
 
-    Rows further apart than tolerance from all others before them begin a new stretch; no
-    pair crosses, so each stretch is matched by itself. A task holds one stretch, not a key.
-    Keys without left or right rows give nothing."""
-    both = left.select(*by, "id", "t", F.lit(0).alias("side")).unionByName(right.select(*by, "id", "t", F.lit(1).alias("side")))
-    w = Window.partitionBy(*by).orderBy("t", "side", "id")
-    cut = islands(both, by, ["t", "side", "id"], F.col("t") - F.lag("t").over(w) > tolerance)
-    kinds = [f"{c} {both.schema[c].dataType.simpleString()}" for c in by]
-
-    def match(stretch: pd.DataFrame) -> pd.DataFrame:
-        sides = [list(zip(stretch.t[stretch.side == k].tolist(), stretch.id[stretch.side == k].tolist())) for k in (0, 1)]
-        got = pd.DataFrame(greedy_pairs(*sides, tolerance), columns=["left_id", "right_id", "gap"], dtype="int64")
-        for c in reversed(by):
-            got.insert(0, c, stretch[c].iloc[0])
-        return got
-
-    return cut.groupBy(*by, "island").applyInPandas(match, ", ".join([*kinds, "left_id long", "right_id long", "gap long"]))
+    A key's rows stream by in order of time; a left row is matched when those it can reach have
+    come, so a task holds the rows within twice the tolerance, however long the key is. Ids of
+    right rows tell them apart. Keys without left or right rows give nothing."""
+    both = left.select(*by, "t", F.lit(0).alias("side"), "id").unionByName(right.select(*by, "t", F.lit(1).alias("side"), "id"))
+    return folded(both, by, ["t", "side", "id"], partial(_Greedy, tolerance), "left_id long, right_id long, gap long")
