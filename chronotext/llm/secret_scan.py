@@ -48,6 +48,8 @@ ALLOWED = (
 BLANKED = ("abcdefghijkl", "0123456789", "example", "placeholder", "changeme")
 #: Matches whose places are summed up at once.
 CHUNK = 128
+#: Counts of a window are held BITS bits each, PACKED to a long.
+BITS, PACKED = 5, 12
 KINDS = ("assign", "access", "hex", *CLASSES)
 
 
@@ -105,23 +107,28 @@ def _windows(candidate: Column, characters: str, least: float) -> Column:
     text, at = candidate["match"], candidate["start"]
     none = F.array().cast("array<struct<start:int,stop:int>>")
     nowhere = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
-    zero = F.struct(F.array_repeat(F.lit(0), len(characters)).alias("n"), F.lit(0.0).alias("sum"), none.alias("out"), nowhere.alias("open"))
+    words = -(-len(characters) // PACKED)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("n"), F.lit(0.0).alias("sum"), none.alias("out"), nowhere.alias("open"))
     closed = lambda out, span: F.when(span["stop"] < 0, out).otherwise(F.concat(out, F.array(span)))
+    # each character's number from 0, found once for the whole candidate
+    numbers = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.call_function("locate", c, F.lit(characters)) - 1)
+    bits = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x % PACKED * BITS).cast("int"))
 
-    def index(p: Column) -> Column:
-        return F.call_function("locate", F.substring(text, p, F.lit(1)), F.lit(characters))
+    def count(n: Column, x: Column) -> Column:
+        own = F.get(n, F.floor(x / PACKED).cast("int"))
+        return F.call_function("shiftright", own, (x % PACKED * BITS).cast("int")).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
-    def step(acc: Column, p: Column) -> Column:
-        enter = index(p)
-        leave = F.when(p > w, index(p - w)).otherwise(F.lit(0))
-        moves = F.transform(F.array(F.struct(enter.alias("enter"), leave.alias("leave"))), lambda m: move(acc, p, m))
+    def step(acc: Column, p: Column, own: Column) -> Column:
+        leave = F.when(p > w, F.get(own, p - w - 1)).otherwise(F.lit(-1))
+        moves = F.transform(F.array(F.struct(F.get(own, p - 1).alias("enter"), leave.alias("leave"))), lambda m: move(acc, p, m))
         return F.element_at(moves, 1)
 
     def move(acc: Column, p: Column, m: Column) -> Column:
-        gone = F.when(m["leave"] > 0, F.element_at(acc["n"], F.greatest(m["leave"], F.lit(1)))).otherwise(F.lit(1))
-        come = F.element_at(acc["n"], m["enter"]) - (m["enter"] == m["leave"]).cast("int")
+        gone = F.when(m["leave"] >= 0, count(acc["n"], m["leave"])).otherwise(F.lit(1))
+        come = count(acc["n"], m["enter"]) - (m["enter"] == m["leave"]).cast("int")
         total = acc["sum"] + weight(gone - 1) - weight(gone) + weight(come + 1) - weight(come)
-        counts = F.transform(acc["n"], lambda c, i: c + (i + 1 == m["enter"]).cast("int") - (i + 1 == m["leave"]).cast("int"))
+        within = lambda i, x: F.when(F.floor(x / PACKED) == i, bits(x)).otherwise(F.lit(0).cast("long"))
+        counts = F.transform(acc["n"], lambda c, i: c + within(i, m["enter"]) - F.when(m["leave"] >= 0, within(i, m["leave"])).otherwise(F.lit(0).cast("long")))
         return F.element_at(F.transform(F.array(total), lambda t: grown(acc, counts, p, t)), 1)
 
     def grown(acc: Column, counts: Column, p: Column, total: Column) -> Column:
@@ -134,7 +141,8 @@ def _windows(candidate: Column, characters: str, least: float) -> Column:
         out = F.when(high & ~joins, closed(acc["out"], now)).otherwise(acc["out"])
         return F.struct(counts.alias("n"), total.alias("sum"), out.alias("out"), F.when(high, span).otherwise(now).alias("open"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), zero, step, lambda acc: closed(acc["out"], acc["open"]))
+    slide = lambda own: F.aggregate(F.sequence(F.lit(1), F.size(own)), zero, lambda acc, p: step(acc, p, own), lambda acc: closed(acc["out"], acc["open"]))
+    return F.element_at(F.transform(F.array(numbers), slide), 1)
 
 
 def _flagged(candidates: Column, characters: str, least: float) -> Column:
@@ -157,7 +165,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     code points, stop exclusive, by start and kind.
 
     base holds the matches of the three patterns that are long enough, added the spans of
-    high entropy; they may overlap. A null or empty text has neither. Rows are independent,
+    high entropy; they may overlap. A candidate of any length is looked at whole, at a cost that
+    grows with its length. A null or empty text has neither. Rows are independent,
     so repeated and null ids are kept as they are. An empty table gives no rows."""
     text = F.col("text")
     low = F.lower(text)

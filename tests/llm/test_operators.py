@@ -284,3 +284,37 @@ def test_pipeline(spark):
     got = out.collect()
     want = set(near_by_force([tuple(r) for r in common.table(spark, SF, "documents").select("doc_id", "text").collect()]))
     assert got and {r.doc_id for r in got} <= want and all(r.exact for r in got)
+
+
+def test_growth_on_both_sides_of_many(spark, monkeypatch):
+    """Rows of every table between the steps follow the members of a family, whether its keys
+    are first joined by nearest partners or compared at once, and the classes are the same."""
+    plain, counts, classes = common.written, {}, {}
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    for many in (32, 1024):
+        monkeypatch.setattr(near_dedup, "MANY", many)
+        most = {}
+        for n in (80, 400):
+            counts.clear()
+            texts = family(n, 1, 0.02) + family(n // 4, 2, 0.004)
+            df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            classes[many, n] = {r.doc_id: r.component_id for r in near_dedup.find_near_copies(df).collect()}
+            most[n] = dict(counts)
+        assert all(x <= 8 * max(most[80].get(name, 0), 80) for name, x in most[400].items()), most
+    assert classes[32, 80] == classes[1024, 80] and classes[32, 400] == classes[1024, 400]
+
+
+def test_mix_comes_near_its_targets(spark):
+    """A source's taken words are within four deviations of its target: a document's last copy
+    is drawn with the fraction f of its rate, which adds f (1 - f) size squared to the variance."""
+    rows = queries.op3_mixing(spark, "/root/testdata/sf0.1").groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.sum(F.pow("size", F.lit(2))).alias("squares")).collect()
+    for r in rows:
+        f = r.target / r.source_size % 1
+        assert abs(r.taken - r.target) <= 4 * (f * (1 - f) * r.squares) ** 0.5 + 1, r
+    assert len(rows) > 10

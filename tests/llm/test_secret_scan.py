@@ -61,3 +61,26 @@ def test_many_candidates_in_one_text(spark):
 
 def test_none(spark):
     assert scan.find_secrets(spark.createDataFrame([], "doc_id string, text string")).count() == 0
+
+
+def test_long_candidates_take_time_by_length(spark):
+    """A run of a megabyte without a blank; times grow with length, and spans are those of
+    windows counted anew."""
+    dice = random.Random(31)
+    run = "".join(dice.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1 << 20))
+    took, w = {}, scan.WINDOW
+    for n in (1 << 15, 1 << 18, 1 << 20):
+        df = spark.createDataFrame([(1, "x " + run[:n] + " y")], "doc_id long, text string")
+        began = time.time()
+        (row,) = scan.find_secrets(df).collect()
+        took[n] = time.time() - began
+        if n == 1 << 15:
+            want = []
+            for i in range(n - w + 1):
+                if entropy(run[i : i + w]) >= scan.CLASSES["entropy_base64"][1] - 1e-9:
+                    if want and want[-1][1] >= i:
+                        want[-1][1] = i + w
+                    else:
+                        want.append([i, i + w])
+            assert [[s.start - 2, s.stop - 2] for s in row.added if s.kind == "entropy_base64"] == want
+    assert took[1 << 20] < 8 * took[1 << 18] and took[1 << 20] < 60, took
