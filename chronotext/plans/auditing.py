@@ -10,6 +10,7 @@ from chronotext.functions import texts, trees
 from chronotext.operators import locating, readings
 from chronotext.plans.folding import _PLACES, _symbols
 from chronotext.plans.registry import Registry
+from chronotext.sources import sheets
 from chronotext.sources.sheets import table
 from chronotext.streaming import slots
 
@@ -152,4 +153,23 @@ def slot_wipes(spark: SparkSession, sf: str) -> DataFrame:
     return slots.wipes(_frames(spark, sf), SLOT_RULE)
 
 
+_SHEET = r"""CASE turn % 6 WHEN 0 THEN '[00:' || lpad((turn * 7 % 60)::VARCHAR, 2, '0') || '.5][01:00]' || body WHEN 1 THEN body WHEN 2 THEN '[00:09.00]' WHEN 3 THEN '@' || body WHEN 4 THEN left(body, 5) || '[00:1' || turn % 10 || ':25] ' || right(body, 5) || '[00:30.000]' ELSE '[ar:' || body END"""
+
+
+@query(rf"""WITH b AS (SELECT conv_id, turn, trim(left(regexp_replace(coalesce(text, ''), '[\[\]\n\r]', ' ', 'g'), 40), ' ') AS body FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, body) AS line, {_SHEET} AS row FROM b),
+ p AS (SELECT conv_id, line, trim(regexp_replace(row, '\[\d+:\d{{2}}([.:]\d{{1,3}})?\]', '', 'g'), ' ') AS original, row,
+  regexp_extract_all(regexp_extract(row, '(\[\d+:\d{{2}}(?:[.:]\d{{1,3}})?\](?:\s*\[\d+:\d{{2}}(?:[.:]\d{{1,3}})?\])*)', 1), '\[(\d+:\d{{2}}(?:[.:]\d{{1,3}})?)\]', 1) AS stamps FROM r),
+ k AS (SELECT conv_id, line, original, unnest(CASE WHEN len(stamps) = 0 THEN [''] ELSE stamps END) AS s FROM p WHERE original <> '' AND (len(stamps) > 0 OR NOT regexp_matches(row, '^\[\w+:|^@')))
+ SELECT conv_id, line, CASE WHEN s <> '' THEN string_split(s, ':')[1]::DOUBLE * 60 + left(string_split(s, ':')[2], 2)::DOUBLE + CASE WHEN length(s) > 5 THEN s[7:]::DOUBLE / 10.0 ** length(s[7:]) ELSE 0 END END AS start, original FROM k""")
+def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a conversation's sheet: repeated and inner stamps, tags, stamps alone."""
+    body = F.trim(F.left(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]\n\r]", " "), F.lit(40)))
+    own = table(spark, sf, "conversations").where("conv_id is not null and turn is not null").select("conv_id", "turn", body.alias("body"))
+    row = F.expr(_SHEET.replace("(turn * 7 % 60)::VARCHAR", "cast(turn * 7 % 60 as string)"))
+    lines = F.array_sort(F.collect_list(F.struct("turn", "body", row.alias("row"))))
+    sheet = own.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["row"]), "\n").alias("text"))
+    return sheets.parse(sheet, "conv_id").select(F.col("key").alias("conv_id"), F.col("line").cast("long").alias("line"), "start", "original")
+
+
 QUERIES, SQL = query.queries, query.sql

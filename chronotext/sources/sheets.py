@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chronotext.functions import timecodes
 
-STAMP = r"\[\d+:\d{1,2}(?:[.:]\d{1,3})?\]"
-TAG = r"^\[[A-Za-z]+:.*\]$"
+#: A stamp, and rows without one that are no text.
+STAMP = r"\[\d+:\d{2}(?:[.:]\d{1,3})?\]"
+NO_TEXT = r"^\[\w+:|^@"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parse(sheets: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """(key, line, start, original): a row for each stamp that leads a line, and one without
-    start for a line without; tag rows and blank lines are left out, a null sheet has none."""
-    raw = sheets.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("pos", "row"))
-    raw = raw.select("key", (F.col("pos") + 1).alias("line"), F.trim("row").alias("row")).where((F.col("row") != "") & ~F.col("row").rlike(TAG))
-    lead = F.regexp_extract("row", rf"^((?:{STAMP})*)", 1)
-    rows = raw.select("key", "line", F.regexp_extract_all(lead, F.lit(f"({STAMP})"), F.lit(1)).alias("stamps"), F.trim(F.regexp_replace("row", rf"^(?:{STAMP})*", "")).alias("original"))
+    """(key, line, start, original): a row for each of the stamps with which a line's stamps
+    begin, up to the first text after a stamp, and one without start for a line without stamps.
+
+    original is the line without any of its stamps, also those inside it; lines of stamps alone,
+    blank ones, and lines without stamps that are tags or begin with @ are left out. A byte
+    order mark is no text; a null sheet has no lines."""
+    bare = F.replace(F.col(text), F.lit("\ufeff"), F.lit(""))
+    raw = sheets.select(F.col(key).alias("key"), F.posexplode(F.split(bare, r"\r\n|\r|\n")).alias("pos", "row")).withColumn("line", F.col("pos") + 1)
+    first = F.regexp_extract("row", rf"({STAMP}(?:\s*{STAMP})*)", 1)
+    rows = raw.select("key", "line", "row", F.regexp_extract_all(first, F.lit(f"({STAMP})"), F.lit(1)).alias("stamps"), F.trim(F.regexp_replace("row", rf"{STAMP}", "")).alias("original"))
+    rows = rows.where((F.col("original") != "") & ((F.size("stamps") > 0) | ~F.col("row").rlike(NO_TEXT)))
     return rows.select("key", "line", F.explode_outer("stamps").alias("s"), "original").select("key", "line", timecodes.seconds_of(F.col("s")).alias("start"), "original")
 
 

@@ -19,9 +19,9 @@ def test_query(spark, name):
 
 
 def test_sheet_parser(spark):
-    text = "[ti:x]\n[00:01.5][01:02.250]two stamps\n\nplain\n[0:03]short"
+    text = "\ufeff[ti:x]\n[00:01.5] [01:02.250]two stamps\n\nplain\n[0:03]short\r\n[00:04.00]\n@Ruby1=a,b\nsung [00:05.00]later[00:06.00] on\n[00:1]odd"
     got = {tuple(r) for r in sheets.parse(spark.createDataFrame([("a", text), ("b", None)], "key string, text string")).collect()}
-    assert got == {("a", 2, 1.5, "two stamps"), ("a", 2, 62.25, "two stamps"), ("a", 4, None, "plain"), ("a", 5, 3.0, "short")}
+    assert got == {("a", 2, 1.5, "two stamps"), ("a", 2, 62.25, "two stamps"), ("a", 4, None, "plain"), ("a", 5, 3.0, "short"), ("a", 8, 5.0, "sung later on")}
 
 
 def test_stamps_clamp_and_round(spark):

@@ -26,3 +26,14 @@ def test_names_and_clocks(spark):
     assert [r.title for r in rows] == ["A", "a/b", ""] and [r.ok for r in rows] == [True, False, False]
     assert rows[0].ttml == "61.235" and rows[0].clock == "1:01.23" and rows[1].ttml == "0.000"
     assert rows[0].h == "かん" and rows[0].x == "&lt;&amp;&quot;"
+
+
+def test_languages_of_sheets(spark):
+    """Three rows in a script of their own decide, Japanese first; English beside Chinese counts
+    from three rows and six tenths on."""
+    from chronotext.plans import sheetwork
+
+    cases = {"ja": "zh zh zh zh ja ja ja", "zh": "zh zh zh ja ja", "en": "zh zh zh zh zh en en en", "zh ": "zh zh zh zh zh zh en en en", "ja ": "ru ru ru ja ja ja ru", "ko": "ko ko ko en en en en", "en ": "en zh", "zh  ": "zh en"}
+    rows = [(k, i, x) for k, v in cases.items() for i, x in enumerate(v.split())]
+    got = sheetwork.sheet_language(spark.createDataFrame(rows, "k string, i int, lang string"), ["k"], "i", F.col("lang")).collect()
+    assert {r.k: r.lang for r in got} == {k: k.strip() for k in cases}
