@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotext.operators import sequences
 from chronotext.operators.folds import folded
 
 
@@ -21,8 +22,8 @@ def first_in_band(left: DataFrame, right: DataFrame, by: list[str], tolerance: i
     own = F.when(F.col("side") == 1, F.struct("t", "id"))
     moved = left.select(*by, "id", (F.col("t") - tolerance).alias("t"), F.lit(0).alias("side"))
     both = moved.unionByName(right.select(*by, "id", "t", F.lit(1).alias("side")))
-    order = Window.partitionBy(*by).orderBy("t", "side", "id").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("m", F.first(own, ignorenulls=True).over(order)).where("side = 0").withColumn("t", F.col("t") + tolerance)
+    order = sequences.backwards(by, ["t", "side", "id"]).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("m", F.last(own, ignorenulls=True).over(order)).where("side = 0").withColumn("t", F.col("t") + tolerance)
     near = F.col("m.t") <= F.col("t") + tolerance
     return found.select(*by, "id", "t", F.when(near, F.col("m.id")).alias("match_id"), F.when(near, F.col("m.t")).alias("match_t"))
 

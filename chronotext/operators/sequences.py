@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -40,15 +40,21 @@ def collapsed(rows: DataFrame, by: list[str], order: str, token: str) -> DataFra
     return marked.where(~F.col(token).eqNullSafe(F.col("__before")) | F.col("__before").isNull()).select(*rows.columns)
 
 
+def backwards(by: list[str], order: list[str]) -> WindowSpec:
+    """The rows of a key from its end. What follows a row comes before it here: a frame from a
+    row to the end of its key is summed up anew for each row, one from the beginning is not."""
+    return Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+
+
 def next_known(rows: DataFrame, by: list[str], order: list[str], value: Column) -> Column:
     """The next value that is not null, the row's own aside."""
-    return F.first(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
+    return F.last(value, ignorenulls=True).over(backwards(by, order).rowsBetween(Window.unboundedPreceding, -1))
 
 
 def bounds(value: str, by: list[str], order: list[str]) -> tuple[Column, Column]:
     """(greatest value so far, least value from here on)."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.min(value).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.min(value).over(backwards(by, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

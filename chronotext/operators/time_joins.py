@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance: int) -> DataFrame:
-    """left with match_id and gap of the nearest right row within tolerance (null if none);
-    of equally near ones the earlier, at one time the one with the smaller id.
-
-    Both sides are sorted together once; a row's neighbours come from a running last and
-    first value, so the work is that of a sort however many rows lie within the tolerance.
+def nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance: int | None, by_id: bool = False) -> DataFrame:
+    """left with match_id and gap of the nearest right row within tolerance (null if none; no
+    bound without one); of equally near ones the earlier, or with by_id the one with the smaller
+    id; at one time always the one with the smaller id.
+
+    A row's neighbours are running last values of both sides sorted together, from either end (a
+    frame that reaches to the end of a key would be summed up anew for each row), so the work is
+    that of two sorts however many rows a key has or lie within the tolerance.
     Columns of left keep their names and values; only match_id and gap are replaced."""
     key = lambda df: [F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)]
     at = [F.col("t").alias("_t"), F.col("id").alias("_id")]
@@ -26,16 +28,36 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance: int) ->
     both = both.withColumn("_same", F.min(own).over(order.orderBy("_t").rangeBetween(0, 0)))
     found = F.when(F.col("_side") == 1, F.col("_same"))
     before = F.last(found, ignorenulls=True).over(order.orderBy("_t", F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(found, ignorenulls=True).over(order.orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(found, ignorenulls=True).over(order.orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("_before", before).withColumn("_after", after).where("_side = 0")
     x, y = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
-    pick = F.when(y.isNull() | (x <= y), F.struct(F.col("_before.id").alias("id"), x.alias("gap"))).otherwise(F.struct(F.col("_after.id").alias("id"), y.alias("gap")))
+    pick = F.when(y.isNull() | (x < y) | (x == y) & (F.col("_before.id") <= F.col("_after.id") if by_id else F.lit(True)), F.struct(F.col("_before.id").alias("id"), x.alias("gap"))).otherwise(F.struct(F.col("_after.id").alias("id"), y.alias("gap")))
     both = both.withColumn("_pick", pick)
-    near = F.col("_pick.gap") <= tolerance
+    near = F.col("_pick.gap") <= tolerance if tolerance is not None else F.col("_pick.gap").isNotNull()
     kept = [F.col("_row").getField(c).alias(c) for c in left.columns if c not in ("match_id", "gap")]
     return both.select(*kept, F.when(near, F.col("_pick.id")).alias("match_id"), F.when(near, F.col("_pick.gap")).alias("gap"))
 
 
+def nearest_other(rows: DataFrame, by: list[str], tolerance: int) -> DataFrame:
+    """rows with match_id and gap of the nearest other row of the same key within tolerance
+    (null if none); of equally near ones the one with the smaller id. Null ids match nothing."""
+    order = Window.partitionBy(*[F.col(c) for c in by])
+    same = order.orderBy("t").rangeBetween(0, 0)
+    both = rows.withColumn("_first", F.min("id").over(same))
+    both = both.withColumn("_second", F.min(F.when(F.col("id") != F.col("_first"), F.col("id"))).over(same))
+    at = F.when(F.col("_first").isNotNull(), F.struct("t", F.col("_first").alias("id")))
+    before = F.last(at, ignorenulls=True).over(order.orderBy("t").rangeBetween(Window.unboundedPreceding, -1))
+    after = F.last(at, ignorenulls=True).over(order.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("_before", before).withColumn("_after", after)
+    twin = F.when(F.col("id") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    option = lambda gap, i: F.when(gap.isNotNull() & i.isNotNull(), F.struct(gap.alias("gap"), i.alias("id")))
+    options = F.array(option(F.col("t") - F.col("t"), twin), option(F.col("t") - F.col("_before.t"), F.col("_before.id")), option(F.col("_after.t") - F.col("t"), F.col("_after.id")))
+    pick = F.array_min(F.array_compact(options))
+    near = (pick["gap"] <= tolerance) & F.col("id").isNotNull()
+    kept = [c for c in rows.columns if c not in ("match_id", "gap")]
+    return both.select(*kept, F.when(near, pick["id"]).alias("match_id"), F.when(near, pick["gap"]).alias("gap"))
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, by: list[str], tolerance: int) -> DataFrame:
     """(by, left_id, right_id, gap) of rows that are each other's nearest."""
     a = nearest(left, right, by, tolerance).where("match_id is not null").select(*by, F.col("id").alias("left_id"), F.col("match_id").alias("right_id"), "gap")

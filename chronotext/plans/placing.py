@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions import scripts, timecodes
-from chronotext.operators import robust
+from chronotext.operators import robust, sequences, time_joins
 from chronotext.plans import timed
 from chronotext.plans.registry import Registry
 from chronotext.sources.sheets import table
@@ -101,7 +101,7 @@ def floor_and_ceiling(spark: SparkSession, sf: str) -> DataFrame:
     """The last known value up to a unit and the first from it on."""
     v = F.when(bought(), F.col("value"))
     low = F.last(v, ignorenulls=True).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
-    return timed._events(spark, sf).select("id", low.alias("low"), F.first(v, ignorenulls=True).over(in_time().rowsBetween(0, Window.unboundedFollowing)).alias("high"))
+    return timed._events(spark, sf).select("id", low.alias("low"), F.last(v, ignorenulls=True).over(sequences.backwards(["user_id"], ["t", "id"]).rowsBetween(Window.unboundedPreceding, 0)).alias("high"))
 
 
 @query(f"""WITH {E_SQL} SELECT user_id, id, t, after - 2500000 AS pulled FROM (SELECT *, row_number() OVER w AS k, lead(t) OVER w AS after FROM e WINDOW w AS {W_SQL}) WHERE k = 1 AND after - t > 2500000""")
@@ -115,7 +115,7 @@ def stranded_first(spark: SparkSession, sf: str) -> DataFrame:
  SELECT id, stop, least(stop, coalesce(min(t) OVER (PARTITION BY user_id ORDER BY t, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), stop)) AS trimmed FROM s""")
 def trimmed_tails(spark: SparkSession, sf: str) -> DataFrame:
     """Ends brought before every start that follows, in one pass from the right."""
-    following = F.min("t").over(in_time().rowsBetween(1, Window.unboundedFollowing))
+    following = F.min("t").over(sequences.backwards(["user_id"], ["t", "id"]).rowsBetween(Window.unboundedPreceding, -1))
     e = timed._events(spark, sf).withColumn("stop", F.col("t") + F.floor(F.col("value") * 60_000_000))
     return e.select("id", "stop", F.least("stop", F.coalesce(following, "stop")).alias("trimmed"))
 
@@ -235,13 +235,10 @@ def order_if_timed(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH p AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS title, floor(p_retailprice * 100 + 0.5)::BIGINT AS d FROM part), k AS (SELECT *, regexp_replace(lower(title), '[^\\p{L}\\p{N}]', '', 'g') AS s FROM p)
  SELECT a.id, arg_min(b.id, (abs(a.d - b.d), b.id)) AS match_id, min(abs(a.d - b.d)) AS gap FROM k a JOIN k b ON a.s = b.s AND a.id <> b.id AND abs(a.d - b.d) <= 300 GROUP BY a.id""")
 def same_title_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """Of parts with the same squashed title the one nearest in length, within 3 seconds. Only
-    rows of neighbouring steps of 3 seconds meet."""
+    """Of parts with the same squashed title the one nearest in length, within 3 seconds."""
     title = scripts.squash(F.concat_ws(" ", "p_brand", "p_type"))
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), title.alias("s"), F.floor(F.col("p_retailprice") * 100 + 0.5).alias("d")).withColumn("step", F.floor(F.col("d") / 300))
-    near = p.select(F.col("id").alias("other"), "s", F.col("d").alias("e"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    both = p.join(near, ["s", "step"]).withColumn("gap", F.abs(F.col("d") - F.col("e"))).where("id <> other and gap <= 300")
-    return both.groupBy("id").agg(F.min_by("other", F.struct("gap", "other")).alias("match_id"), F.min("gap").alias("gap"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), title.alias("s"), F.floor(F.col("p_retailprice") * 100 + 0.5).alias("t"))
+    return time_joins.nearest_other(p, ["s"], 300).where("match_id is not null").select("id", "match_id", "gap")
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions import scripts
-from chronotext.operators import robust
+from chronotext.operators import robust, time_joins
 from chronotext.plans import sheetwork, timed
 from chronotext.plans.registry import Registry
 from chronotext.sources.sheets import table
@@ -98,16 +98,14 @@ def covering_rows(spark: SparkSession, sf: str) -> DataFrame:
  SELECT c.qid, f.album, arg_min(c.id, (c.off, c.id)) AS id, count(*) AS n FROM c JOIN f ON c.qid = f.qid AND c.album = f.album GROUP BY ALL""")
 def narrowed_match(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates narrowed step by step: by artist, then by the album of the nearest of them,
-    then to the nearest in duration. Customers of one artist and duration ask alike, so
-    candidates meet once for each distinct question."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.floor(F.col("p_retailprice") * 100 + 0.5).alias("d"))
+    then to the nearest in duration. That is the nearest of the artist, so rows are sorted by
+    artist and duration and never meet in pairs; the album's rows are counted beside."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.floor(F.col("p_retailprice") * 100 + 0.5).alias("t"))
     k = F.col("c_custkey")
-    q = table(spark, sf, "customer").select(k.alias("qid"), F.concat(F.lit("Brand#"), (k % 5 + 1).cast("string"), (k % 3 + 1).cast("string")).alias("artist"), k.alias("k"))
-    per = p.groupBy("artist", "album", "d").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("same"))
-    c = q.join(per, "artist").withColumn("off", F.abs(F.col("d") - 100000 - F.col("k")))
-    by_album = c.groupBy("qid", "album").agg(F.min(F.struct("off", "id")).alias("best"), F.sum("same").alias("n"))
-    best = by_album.groupBy("qid").agg(F.min(F.struct("best", "album", "n")).alias("x"))
-    return best.select("qid", "x.album", F.col("x.best.id").alias("id"), "x.n")
+    q = table(spark, sf, "customer").select(k.alias("id"), F.concat(F.lit("Brand#"), (k % 5 + 1).cast("string"), (k % 3 + 1).cast("string")).alias("artist"), (k + 100000).alias("t"))
+    best = time_joins.nearest(q, p, ["artist"], None, by_id=True).select(F.col("id").alias("qid"), F.col("match_id").alias("id")).where("id is not null")
+    counts = p.groupBy("artist", "album").agg(F.count(F.lit(1)).alias("n"))
+    return best.join(p.select("id", "artist", "album"), "id").join(counts, ["artist", "album"]).select("qid", "album", "id", "n")
 
 
 @query("""WITH l AS (SELECT l_suppkey, l_quantity AS q, l_extendedprice / l_quantity AS pace FROM lineitem WHERE l_quantity >= 6) SELECT l_suppkey, count(*) AS n, floor(median(pace) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS pace FROM l GROUP BY 1""")
