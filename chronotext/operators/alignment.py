@@ -88,22 +88,37 @@ def _longest_block(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def covered_in_order(a, b) -> float:
-    """The share of a's symbols in matching blocks: the longest equal stretch of both, then the
-    longest before it on both sides and after it, and so on; 0 if a is empty. (This can be less
-    than the longest common subsequence.)"""
+def matching_blocks(a, b) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the blocks that both have in order, ascending: the
+    longest equal stretch of both, then the longest before it on both sides and after it, and
+    so on."""
     x, y = _codes(a, b)
-    if not len(x):
-        return 0.0
-    n, todo = 0, [(0, len(x), 0, len(y))]
+    out, todo = [], [(0, len(x), 0, len(y))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
         if a0 < a1 and b0 < b1:
             i, j, k = _longest_block(x[a0:a1], y[b0:b1])
             if k:
-                n += k
+                out.append((a0 + i, b0 + j, k))
                 todo += [(a0, a0 + i, b0, b0 + j), (a0 + i + k, a1, b0 + j + k, b1)]
-    return n / len(x)
+    return sorted(out)
+
+
+def covered_in_order(a, b) -> float:
+    """The share of a's symbols in matching blocks; 1 if a is empty, as nothing of it is missing.
+    (This can be less than the longest common subsequence.)"""
+    n = 0 if a is None else len(a)
+    return sum(k for _, _, k in matching_blocks(a, b)) / n if n else 1.0
+
+
+def uncovered_stretches(a, b, least: int, distinct: int = 4) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches of a, least symbols long or longer and of as many distinct
+    ones, that lie in no matching block of two symbols or more. Stretches at a's ends don't
+    count, since what is cut off there has no counterpart."""
+    n = 0 if a is None else len(a)
+    blocks = [(i, i + k) for i, _, k in matching_blocks(a, b) if k >= 2]
+    gaps = zip([0, *(e for _, e in blocks)], [*(b for b, _ in blocks), n])
+    return [(i, j) for i, j in gaps if j - i >= least and i > 0 and j < n and len(set(a[i:j])) >= distinct]
 
 
 def _column(how, kind: str):
@@ -118,3 +133,8 @@ def columns() -> dict:
     """name -> function of two array columns, made for the running session."""
     flat = lambda a, b: [p for pair in pairs_in_order(a, b) for p in pair]
     return {"pairs_in_order": _column(flat, "array<int>"), "distance_within": _column(distance_within, "double"), "pairing_cost": _column(pairing_cost, "long"), "covered_in_order": _column(covered_in_order, "double")}
+
+
+def stretches(least: int):
+    """A function of two columns: uncovered_stretches, as structs (begin, end)."""
+    return _column(lambda a, b: [{"begin": i, "end": j} for i, j in uncovered_stretches(a, b, least)], "array<struct<begin: int, end: int>>")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronotext.operators import signals
+from chronotext.functions import scripts, texts
+from chronotext.operators import listening, signals
 from chronotext.plans.registry import Registry
 from chronotext.sources.sheets import table
 
@@ -26,4 +27,32 @@ def recording_offset(spark: SparkSession, sf: str) -> DataFrame:
     return signals.offset(o, copy, ["user_id"], 40).select("user_id", "lag", F.round("score", 6).alias("score"))
 
 
+def _song(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, heard) of each conversation: its lines, three seconds each, and those lines as they
+    were heard: some words turned round, every fifth line left out, some lines of the one before
+    and of the next conversation between."""
+    own = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(texts.lines(F.col("text"))).alias("k", "text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "k")).cast("long")
+    rows = own.select("conv_id", place.alias("place"), "text")
+    at = F.col("place") * 3.0
+    lines = rows.select("conv_id", "place", F.when((F.col("conv_id") % 7 != 3) | (F.col("place") % 4 != 2), at).alias("start"), scripts.squash(scripts.hiragana(F.col("text"))).alias("sound"))
+    turned = F.transform(texts.words(F.col("text")), lambda x, i: F.when(i % 6 == 4, F.reverse(x)).otherwise(x))
+    other = rows.where("place % 3 = 0").select((F.col("conv_id") - 1).alias("conv_id"), "place", F.col("text").alias("strange"))
+    heard = rows.withColumn("said", F.array_join(turned, "")).join(other, ["conv_id", "place"], "left").where("place % 5 <> 1")
+    words = F.concat(F.col("said"), F.coalesce("strange", F.lit("")), F.col("said"))
+    return lines, heard.select("conv_id", F.col("place").alias("n"), at.alias("start"), (at + 6).alias("end"), scripts.squash(words).alias("sound"))
+
+
+@query()
+def unheard_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of which less than half was heard."""
+    return listening.unheard(*_song(spark, sf), ["conv_id"]).withColumn("share", F.round("share", 6))
+
+
+@query()
+def unwritten_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases that were heard and stand in no line."""
+    return listening.unwritten(*_song(spark, sf), ["conv_id"], 6)
+
+
 QUERIES, SQL = query.queries, query.sql

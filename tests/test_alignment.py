@@ -40,8 +40,8 @@ def test_programs_by_force():
         want = min(least(a, s, 1, 1, 1) for s in stretches) / len(a) if a and b else 1.0
         assert alignment.distance_within(a, b) == want
         blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-        assert alignment.covered_in_order(a, b) == (sum(x.size for x in blocks) / len(a) if a else 0.0)
-    assert alignment.covered_in_order(None, ["x"]) == 0.0 and alignment.distance_within(["x"], None) == 1.0
+        assert alignment.covered_in_order(a, b) == (sum(x.size for x in blocks) / len(a) if a else 1.0)
+    assert alignment.covered_in_order(None, ["x"]) == 1.0 and alignment.distance_within(["x"], None) == 1.0
 
 
 def greedy_by_force(left, right, tolerance):

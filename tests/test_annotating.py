@@ -2,23 +2,15 @@
 
 import random
 
-import pytest
-from compare import difference
 from pyspark.sql import functions as F
 
 from chronotext.functions import marks, trees
 from chronotext.operators import annotation
-from chronotext.plans import annotating
 
 LINES = f"song int, place int, line {trees.LINE}"
 RULES = "song int, rank int, base string, reading string, begin double, until double"
 
 
-@pytest.mark.parametrize("name", sorted(annotating.SQL))
-def test_sql(spark, name):
-    assert difference(spark, annotating.QUERIES[name], annotating.SQL[name], "/root/testdata/sf0.001") == ""
-
-
 def line(*words):
     made = [{"text": t, "startTime": float(a), "endTime": float(b), "syllables": None} for t, a, b in words]
     return {"fullText": "".join(w[0] for w in words), "translation": None, "startTime": made[0]["startTime"], "endTime": made[-1]["endTime"], "words": made}
