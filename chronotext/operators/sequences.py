@@ -32,12 +32,13 @@ def index_blocks(rows: DataFrame, by: list[str], index: str) -> DataFrame:
     return rows.select(*by, index, block).groupBy(*by, "block").agg(F.min(index).alias("first_index"), F.max(index).alias("last_index"), F.count(F.lit(1)).alias("n")).drop("block")
 
 
-def collapsed(rows: DataFrame, by: list[str], order: str, token: str) -> DataFrame:
+def collapsed(rows: DataFrame, by: list[str], order: str, token: str, blank: object = None) -> DataFrame:
     """Rows whose token differs from the one before in their key; the first always stays, and
-    of null tokens each does."""
+    of null tokens each does. Blank tokens go, but those beside them are told apart by them."""
     w = Window.partitionBy(*by).orderBy(order)
     marked = rows.select("*", F.lag(token).over(w).alias("__before"))
-    return marked.where(~F.col(token).eqNullSafe(F.col("__before")) | F.col("__before").isNull()).select(*rows.columns)
+    fresh = ~F.col(token).eqNullSafe(F.col("__before")) | F.col("__before").isNull()
+    return marked.where(fresh if blank is None else fresh & ~F.col(token).eqNullSafe(F.lit(blank))).select(*rows.columns)
 
 
 def backwards(by: list[str], order: list[str]) -> WindowSpec:

@@ -1,4 +1,4 @@
-"""Queries that hold two recordings, and what was heard against what is written."""
+"""Queries on recordings: offsets, shifts, tokens, and what was heard against what is written."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions import scripts, texts
-from chronotext.operators import listening, signals
+from chronotext.operators import listening, robust, sequences, signals
+from chronotext.plans import timed
 from chronotext.plans.registry import Registry
 from chronotext.sources.sheets import table
 
@@ -55,4 +56,27 @@ def unwritten_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return listening.unwritten(*_song(spark, sf), ["conv_id"], 6)
 
 
+@query("""WITH e AS (SELECT user_id, event_id AS id, floor(value * 100 + 0.5)::BIGINT AS t FROM events WHERE value IS NOT NULL),
+ n AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS near FROM e),
+ c AS (SELECT user_id, arg_max(t, (near, -id)) AS centre FROM n GROUP BY 1), u AS (SELECT e.user_id, median(t)::DOUBLE AS usual FROM e JOIN c USING (user_id) WHERE abs(t - centre) <= 100 GROUP BY 1)
+ SELECT e.user_id, usual, count(*) AS n, min(id) AS first_id FROM e JOIN u USING (user_id) WHERE abs(t - usual) <= 200 GROUP BY ALL HAVING count(*) >= 3""")
+def usual_shift(spark: SparkSession, sf: str) -> DataFrame:
+    """The shift that most of a user's values share: the median around the one with the most
+    others near it, and how many lie near that median, the first of them named."""
+    e = timed.near_values(spark, sf)
+    centre = e.groupBy("user_id").agg(F.max(F.struct("n", (-F.col("id")).alias("back"), "t"))["t"].alias("centre"))
+    around = e.join(centre, "user_id").where(F.abs(F.col("t") - F.col("centre")) <= 100)
+    usual = robust.quantiles(around, ["user_id"], "t", {"usual": 0.5}).select("user_id", F.col("usual").cast("double").alias("usual"))
+    alike = e.drop("n").join(usual, "user_id").where(F.abs(F.col("t") - F.col("usual")) <= 200)
+    return alike.groupBy("user_id", "usual").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n >= 3")
+
+
+@query("""WITH t AS (SELECT label, vec_id, list_position(embedding, list_max(embedding))::BIGINT % 5 AS token FROM embeddings), l AS (SELECT *, lag(token) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM t)
+ SELECT label, vec_id, token FROM l WHERE token IS DISTINCT FROM before AND token <> 0""")
+def heard_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """What frames say: repeated tokens once, unless a blank (0) parts them, and no blanks."""
+    token = (F.array_position("embedding", F.array_max("embedding")).cast("long") % 5).alias("token")
+    return sequences.collapsed(table(spark, sf, "embeddings").select("label", "vec_id", token), ["label"], "vec_id", "token", 0)
+
+
 QUERIES, SQL = query.queries, query.sql

@@ -103,10 +103,14 @@ OFFSET_SQL = """WITH e AS (SELECT user_id, event_id AS id, value / 100 AS x FROM
 
 def densest_shift(spark: SparkSession, sf: str) -> DataFrame:
     """Per user the value with the most others within 1, the smallest of such."""
-    w = Window.partitionBy("user_id").orderBy("cents").rangeBetween(-100, 100)
-    e = _events(spark, sf).select("user_id", F.floor(F.col("value") * 100 + 0.5).alias("cents")).withColumn("near", F.count(F.lit(1)).over(w))
-    best = e.groupBy("user_id").agg(F.max(F.struct("near", (-F.col("cents")).alias("minus"))).alias("b"))
-    return best.where("b.near >= 3").select("user_id", (-F.col("b.minus")).alias("cents"), F.col("b.near").alias("near"))
+    best = near_values(spark, sf).groupBy("user_id").agg(F.max(F.struct("n", (-F.col("t")).alias("minus"))).alias("b"))
+    return best.where("b.n >= 3").select("user_id", (-F.col("b.minus")).alias("cents"), F.col("b.n").alias("near"))
+
+
+def near_values(spark: SparkSession, sf: str) -> DataFrame:
+    """(user_id, id, t, n): values in hundredths, and how many of the user's lie within 1."""
+    e = _events(spark, sf).select("user_id", "id", F.floor(F.col("value") * 100 + 0.5).alias("t")).where("t is not null")
+    return time_joins.counts_in_band(e, e, ["user_id"], 100, 100)
 
 
 def applied_edit_totals(spark: SparkSession, sf: str) -> DataFrame:
