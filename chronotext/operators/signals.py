@@ -25,11 +25,11 @@ def _blocks(signal: DataFrame, by: list[str], size: int) -> tuple[DataFrame, Dat
     without a value, or a signal that never moves, counts as its mean."""
     value = F.when(~F.isnan("value"), F.col("value")).cast("double")
     s = signal.where("place >= 0").groupBy(*by, F.col("place").cast("long").alias("place")).agg(F.first(value, ignorenulls=True).alias("value"))
-    stats = s.groupBy(*by).agg(F.mean("value").alias("mean"), F.stddev_pop("value").alias("deviation"), (F.max("place") + 1).alias("n"))
-    even = F.coalesce((F.col("value") - F.col("mean")) / F.nullif(F.col("deviation"), F.lit(0.0)), F.lit(0.0))
+    stats = s.groupBy(*by).agg(F.mean("value").alias("_mean"), F.stddev_pop("value").alias("_deviation"), (F.max("place") + 1).alias("_n"))
+    even = F.coalesce((F.col("value") - F.col("_mean")) / F.nullif(F.col("_deviation"), F.lit(0.0)), F.lit(0.0))
     cell = F.struct((F.col("place") % size).cast("int").alias("at"), even.alias("value"))
-    blocks = s.join(stats, by).groupBy(*by, F.floor(F.col("place") / size).alias("block")).agg(F.collect_list(cell).alias("cells"))
-    return blocks, stats.select(*by, "n")
+    blocks = s.join(stats, by).groupBy(*by, F.floor(F.col("place") / size).alias("_block")).agg(F.collect_list(cell).alias("_cells"))
+    return blocks, stats.select(*by, "_n")
 
 
 def correlations(left: DataFrame, right: DataFrame, by: list[str], reach: int, size: int = BLOCK) -> DataFrame:
@@ -44,10 +44,10 @@ def correlations(left: DataFrame, right: DataFrame, by: list[str], reach: int, s
         raise ValueError("reach must not be negative, size must be positive")
     (a, n), (b, m) = _blocks(left, by, size), _blocks(right, by, size)
     wide = reach // size + 1
-    moved = b.withColumn("apart", F.explode(F.sequence(F.lit(-wide), F.lit(wide)))).select(*by, (F.col("block") + F.col("apart")).alias("block"), "apart", F.col("cells").alias("others"))
-    pairs = a.join(moved, [*by, "block"])
+    moved = b.withColumn("_apart", F.explode(F.sequence(F.lit(-wide), F.lit(wide)))).select(*by, (F.col("_block") + F.col("_apart")).alias("_block"), "_apart", F.col("_cells").alias("_others"))
+    pairs = a.join(moved, [*by, "_block"])
     keys = [pairs.schema[c] for c in by]
-    schema = StructType([*keys, StructField("first", LongType()), StructField("sums", ArrayType(DoubleType()))])
+    schema = StructType([*keys, StructField("_first", LongType()), StructField("_sums", ArrayType(DoubleType()))])
     arrow = to_arrow_schema(schema)
 
     def spectrum(cells: list[dict]) -> np.ndarray:
@@ -72,19 +72,19 @@ def correlations(left: DataFrame, right: DataFrame, by: list[str], reach: int, s
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         for batch in batches:
-            names = [batch.column(c).to_pylist() for c in [*by, "apart"]]
+            names = [batch.column(c).to_pylist() for c in [*by, "_apart"]]
             for i, key in enumerate(zip(*names)):
-                one = spectrum(batch.column("cells")[i].as_py()) * np.conj(spectrum(batch.column("others")[i].as_py()))
+                one = spectrum(batch.column("_cells")[i].as_py()) * np.conj(spectrum(batch.column("_others")[i].as_py()))
                 held[key] = held[key] + one if key in held else one
                 if len(held) >= HELD:
                     yield flush()
         if held:
             yield flush()
 
-    lagged = pairs.select(*by, "apart", "cells", "others").mapInArrow(run, schema).select(*by, "first", F.posexplode("sums").alias("k", "part"))
-    sums = lagged.select(*by, (F.col("first") + F.col("k")).alias("lag"), "part").groupBy(*by, "lag").agg(F.sum("part").alias("score"))
-    both = sums.join(n, by).join(m.withColumnRenamed("n", "_m"), by).where((F.col("lag") < F.col("n")) & (-F.col("lag") < F.col("_m")))
-    return both.select(*by, "lag", F.round(F.col("score") / F.least("n", "_m"), 9).alias("score"))
+    lagged = pairs.select(*by, "_apart", "_cells", "_others").mapInArrow(run, schema).select(*by, "_first", F.posexplode("_sums").alias("_k", "_part"))
+    sums = lagged.select(*by, (F.col("_first") + F.col("_k")).alias("lag"), "_part").groupBy(*by, "lag").agg(F.sum("_part").alias("score"))
+    both = sums.join(n, by).join(m.withColumnRenamed("_n", "_m"), by).where((F.col("lag") < F.col("_n")) & (-F.col("lag") < F.col("_m")))
+    return both.select(*by, "lag", F.round(F.col("score") / F.least("_n", "_m"), 9).alias("score"))
 
 
 def offset(left: DataFrame, right: DataFrame, by: list[str], reach: int, size: int = BLOCK) -> DataFrame:

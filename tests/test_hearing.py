@@ -41,6 +41,9 @@ def test_signals_with_gaps(spark):
     got = {r.key: (r.lag, r.score) for r in signals.offset(a, a.where("key <> 2"), ["key"], 3).collect()}
     assert got == {1: (0, 0.4), 3: (-1, 0.0)}
     assert signals.offset(a.where("false"), a, ["key"], 3).count() == 0
+    for name in ("k", "n", "block", "part", "cells"):  # keys of any name
+        b = a.withColumnRenamed("key", name)
+        assert {r[0]: r.lag for r in signals.offset(b, b, [name], 3).collect()} == {1: 0, 2: 0, 3: -1}
 
 
 def covered(a, b):
