@@ -18,9 +18,11 @@ def lines(text: Column) -> Column:
 
 
 def grams(items: Column, n: int) -> Column:
-    """Distinct runs of n items, joined by a space; none if there are fewer items."""
+    """Distinct runs of n items, joined by a space; none if there are fewer items. items should be
+    a column of its own, as an expression would be worked out for each run."""
     last = F.size(items) - n
-    own = F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(items, i, n), " ")))
+    # single items, as slice would copy all of them for each run
+    own = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", *[F.get(items, i + k) for k in range(n)])))
     return F.array_distinct(F.coalesce(own, F.array().cast("array<string>")))
 
 
