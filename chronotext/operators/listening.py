@@ -7,6 +7,7 @@ of its key, which is one value then; a key is a song, so that is a few thousand
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -29,10 +30,10 @@ def _text(order: str, sound: str) -> Column:
     return F.array_join(F.transform(own, lambda x: x["s"]), "")
 
 
-def _covered():
-    """covered_in_order for filters on its result: a deterministic one would be worked out in the
-    filter and once more behind it."""
-    return alignment.columns()["covered_in_order"].asNondeterministic()
+def _covered(enough: float):
+    """A share up to enough, for filters on its result: a deterministic one would be worked out in
+    the filter and once more behind it."""
+    return alignment.covered(enough).asNondeterministic()
 
 
 def _whole(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -51,7 +52,7 @@ def _met(lines: DataFrame, heard: DataFrame, by: list[str], slack: float) -> Dat
 def unheard(lines: DataFrame, heard: DataFrame, by: list[str]) -> DataFrame:
     """(by, place, share) of lines of three letters or more of which less than half was heard, in
     order, near their time or anywhere in the song. Where nothing was heard every line counts."""
-    covered = _covered()
+    covered = _covered(HEARD)
     near = _met(lines, heard, by, HEARD_NEAR).groupBy(*by, "place").agg(_text("n", "heard_sound").alias("near"))
     own = lines.where(F.length("sound") >= LEAST).select(*by, "place", "sound").join(near, [*by, "place"], "left")
     own = own.withColumn("share", covered("sound", F.coalesce("near", F.lit("")))).where(F.col("share") < HEARD).drop("near")
@@ -64,13 +65,17 @@ class _Fresh:
     """Phrases unlike those kept before, since overlapping windows hear them twice."""
 
     def __init__(self):
-        self.kept: list[str] = []
+        self.kept: list[tuple[str, Counter]] = []
 
     def take(self, row: tuple) -> list[tuple]:
         piece = row[2]
-        if any(alignment.covered_in_order(x, y) >= SAME for old in self.kept for x, y in ((piece, old), (old, piece))):
-            return []
-        self.kept.append(piece)
+        own = Counter(piece)
+        for old, letters in self.kept:
+            # no more than the letters that both have can be covered
+            both = (own & letters).total()
+            if any(both / len(x) >= SAME and alignment.covered_in_order(x, y, SAME) >= SAME for x, y in ((piece, old), (old, piece))):
+                return []
+        self.kept.append((piece, own))
         return [row]
 
     def end(self) -> list[tuple]:
@@ -83,7 +88,7 @@ def unwritten(lines: DataFrame, heard: DataFrame, by: list[str], shortest: int)
 
     If a song's lines aren't all timed, or none is near, it is held against all of them. A key's
     phrases come in order of (n, at) to one task, which holds those that it kept."""
-    stretches, covered = alignment.stretches(shortest), _covered()
+    stretches, covered = alignment.stretches(shortest), _covered(WRITTEN)
     near = _met(lines, heard, by, LINES_NEAR).groupBy(*by, "n").agg(_text("place", "line_sound").alias("near"))
     loose = lines.where("start is null").select(*by).distinct().withColumn("loose", F.lit(True))
     own = heard.where(F.length("sound") > shortest).select(*by, "n", "sound").join(near, [*by, "n"], "left").join(loose, by, "left")
