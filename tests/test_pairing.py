@@ -172,3 +172,32 @@ def test_many_frames_hold_a_band():
     starts = framewise.first_frames(scores, rng.integers(1, 4, n), due - 100, due + 100, rule="entered")
     assert tracemalloc.get_traced_memory()[1] < 40_000_000  # 200 MB for all states, a byte each
     assert (abs(np.array(starts) - due) <= 100).all() and (np.diff(starts) > 0).all()
+
+
+def test_pairs_of_long_sides_in_time():
+    import time
+    import tracemalloc
+
+    tracemalloc.stop()
+    dice = random.Random(13)
+    a, b = [dice.randrange(90) for _ in range(4000)], [dice.randrange(90) for _ in range(4000)]
+    began = time.process_time()
+    got = pairing.pair(a, b, [i - 20 for i in range(4000)], [i + 20 for i in range(4000)], [i * 10 for i in range(4000)], [i * 10 for i in range(4000)], False)
+    assert time.process_time() - began < 0.5
+    assert all(j < 0 or a[i] == b[j] and abs(i - j) <= 20 for i, j in enumerate(got)) and sum(j >= 0 for j in got) > 400
+
+
+def test_sounds_in_little_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    sound = pa.array([[{"family": k % 5, "vowel": k % 3} for k in range(40)]] * 4000)
+    numbers = pa.array([list(range(40))] * 4000, pa.list_(pa.int32()))
+    wide = pa.array([[60] * 40] * 4000, pa.list_(pa.int32()))
+    run = pairing.paired("sounds").func
+    tracemalloc.start()
+    (got,) = list(run(iter([(sound, sound, numbers, wide, numbers, numbers)])))
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000  # a batch as Python's values has over 100 MB
+    tracemalloc.stop()
+    assert len(got) == 4000 and got[0].as_py() == list(range(40))
