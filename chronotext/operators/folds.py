@@ -60,21 +60,26 @@ def folded(rows: DataFrame, by: list[str], order: list[str | Column], start: Cal
     return dealt.sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
-class _Families:
-    """Of letters (place, at, family) those that are a sound of their own after the last."""
-
-    def __init__(self):
-        self.family, self.at = None, 0
-
-    def take(self, row: tuple) -> list[tuple]:
-        _, at, family = row
-        if family == self.family and at - self.at <= sounds.ONE_SOUND:
-            return []
-        self.family, self.at = family, at
-        return [row]
-
-    def end(self) -> list[tuple]:
-        return []
+def _heard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (.., at, joined) whose sound is a sound of its own: those that aren't joined to the
+    row before, and of a chain of joined ones each that comes too late after the last that stayed."""
+    stayed = 0
+    for batch in batches:
+        at, joined = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "joined"))
+        keep = ~joined
+        # where each chain begins; one that goes on from the last batch, with what stayed there
+        begin = np.maximum.accumulate(np.where(keep, np.arange(len(at)), -1))
+        since = np.where(begin < 0, stayed, at[begin])
+        late = np.flatnonzero(joined & (at - since > sounds.ONE_SOUND))
+        chain, last = None, 0
+        for i in late.tolist():
+            if chain != begin[i]:
+                chain, last = begin[i], since[i]
+            if at[i] - last > sounds.ONE_SOUND:
+                keep[i], last = True, at[i]
+        if len(at):
+            stayed = int(at[np.flatnonzero(keep)[-1]]) if keep.any() else stayed
+        yield batch.filter(pa.array(keep)).drop_columns(["joined"])
 
 
 def family_stream(letters: DataFrame, by: list[str], pinyin: bool = False) -> DataFrame:
@@ -83,7 +88,11 @@ def family_stream(letters: DataFrame, by: list[str], pinyin: bool = False) -> Da
     w = Window.partitionBy(*by).orderBy("place")
     before = F.when(F.col("at") - F.lag("at").over(w) <= sounds.ONE_WORD, F.lag("letter").over(w)).otherwise("")
     heard = letters.withColumn("family", sounds.letter_family(F.col("letter"), before, pinyin)).where("family > 0")
-    return folded(heard.select(*by, F.col("place").cast("long"), F.col("at").cast("long"), F.col("family").cast("int")), by, ["place"], _Families, "place long, at long, family int")
+    rows = heard.select(*by, F.col("place").cast("long"), F.col("at").cast("long"), F.col("family").cast("int"))
+    # a row after more than ONE_SOUND stays whatever stayed before it
+    joined = (F.lag("family").over(w) == F.col("family")) & (F.col("at") - F.lag("at").over(w) <= sounds.ONE_SOUND)
+    chains = rows.withColumn("joined", F.coalesce(joined, F.lit(False)))
+    return chains.sortWithinPartitions(*by, "place").mapInArrow(_heard, rows.schema)
 
 
 def with_room(pins: DataFrame, by: list[str]) -> DataFrame:
