@@ -115,6 +115,8 @@ def annotated(lines: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
     ever = F.lit(float("inf"))
     sung = F.regexp_replace(F.coalesce("reading", F.lit("")), STAMP, "") != ""
     r = rules.where("base <> ''").select(*by, "rank", "base", F.coalesce("reading", F.lit("")).alias("reading"), F.coalesce(F.col("begin").cast("double"), F.lit(0.0)).alias("begin"), F.coalesce(F.col("until").cast("double"), ever).alias("until"), sung.alias("sung"))
+    # All sides grow with the songs, and their rows take far more in memory than as shuffle files, by
+    # whose size Spark would send them through the driver: so they are merged.
     # a rule that holds for long meets its text at one step for all times
     short = F.col("until") - F.col("begin") <= 4 * STEP
     r = r.withColumn("step", F.explode(F.when(short, _steps(F.col("begin"), F.greatest("begin", "until"))).otherwise(F.array(F.lit(ALWAYS).cast("long")))))
@@ -122,26 +124,26 @@ def annotated(lines: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
 
     own = lines.select(*by, "place", F.posexplode("line.words").alias("n", "w")).select(*by, "place", "n", F.col("w.text").alias("base"), F.col("w.startTime").alias("start"))
     own = own.where("start is not null").withColumn("step", F.explode(both_ways(_steps(F.col("start"), F.col("start")))))
-    met = own.join(r, [*by, "base", "step"]).where((F.col("start") >= F.col("begin") - SLACK) & (F.col("start") <= F.col("until") + SLACK))
+    met = own.join(r.hint("merge"), [*by, "base", "step"]).where((F.col("start") >= F.col("begin") - SLACK) & (F.col("start") <= F.col("until") + SLACK))
     counts = met.where(F.col("sung") | (F.col("reading") == ""))
     top = counts.groupBy(*by, "place", "n").agg(F.max_by("reading", "rank").alias("reading"))
     whole = top.groupBy(*by, "place").agg(F.array_sort(F.collect_list(F.struct("n", "reading"))).alias("_whole"))
     spent = met.where(F.col("sung") & (F.col("until") - F.col("begin") < SLACK)).select(*by, "rank").distinct()
 
-    left = r.where("sung").join(spent, [*by, "rank"], "left_anti")
+    left = r.where("sung").join(spent.hint("merge"), [*by, "rank"], "left_anti")
     sizes = left.groupBy(*by).agg(F.collect_set(F.length("base")).alias("sizes"))
     text = F.array_join(F.transform("line.words", lambda w: F.coalesce(w["text"], F.lit(""))), "")
     times = lambda c, f: f(F.transform("line.words", lambda w: w[c]))
-    spans = lines.select(*by, "place", text.alias("text"), times("startTime", F.array_min).alias("from"), times("endTime", F.array_max).alias("to")).where("text <> '' and `from` is not null").join(sizes, by)
+    spans = lines.select(*by, "place", text.alias("text"), times("startTime", F.array_min).alias("from"), times("endTime", F.array_max).alias("to")).where("text <> '' and `from` is not null").join(sizes.hint("merge"), by)
     starts = lambda k: F.when(F.length("text") >= k, F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substring("text", i, k))).otherwise(F.array().cast("array<string>"))
     found = spans.withColumn("base", F.explode(F.array_distinct(F.flatten(F.transform("sizes", starts)))))
     found = found.withColumn("step", F.explode(both_ways(_steps(F.col("from"), F.greatest("from", "to")))))
     rule = F.struct("rank", "base", "reading", "begin", "until")
-    met = found.join(left, [*by, "base", "step"]).where((F.col("from") <= F.col("until") + SLACK) & (F.greatest("from", "to") >= F.col("begin") - SLACK))
+    met = found.join(left.hint("merge"), [*by, "base", "step"]).where((F.col("from") <= F.col("until") + SLACK) & (F.greatest("from", "to") >= F.col("begin") - SLACK))
     inside = met.groupBy(*by, "place").agg(F.collect_set(rule).alias("_inside"))
 
     # any order does for the rest: a line with its rules is all that a row needs
-    full = lines.join(whole, [*by, "place"], "left").join(inside, [*by, "place"], "left").select(*lines.columns, "_whole", "_inside")
+    full = lines.join(whole.hint("merge"), [*by, "place"], "left").join(inside.hint("merge"), [*by, "place"], "left").select(*lines.columns, "_whole", "_inside")
     arrow, at = to_arrow_schema(lines.schema), lines.columns.index("line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,3 +132,10 @@ def test_marks(spark):
     assert got[0][0] == "{落下傘|パラシュート}と{夜の手|ナイト}x(y)"
     assert got[1][1:] == ("{食|た}べる{赤い|あか}{いい|いい}", "食べる赤いいい", "たべるあかいい")
     assert got[2] == (None,) * 4
+
+
+def test_no_songs_through_the_driver(spark):
+    from chronotext.plans import annotating
+
+    plan = annotating.annotated_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
