@@ -18,15 +18,18 @@ from chronotext.operators.folds import folded
 
 #: Characters by which stretches are sorted: for texts of that many at least, and for shorter ones.
 LONG, SHORT = 12, 2
+#: How many times the length of a text plain searches may go through before stretches are sorted.
+WALKS = 8
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Occurrences:
-    """Finds texts of SHORT characters or more in one text."""
+    """Finds texts of SHORT characters or more in one text. Lines mostly stand at the cursor or
+    near it: plain search goes through WALKS times the text in all, then stretches are sorted."""
 
     def __init__(self, text: str):
-        self.text = text
-        self._sorted = {size: self._starts(size) for size in (SHORT, LONG)}
+        self.text, self.left = text, WALKS * len(text)
+        self._sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
     def _hashes(text: str, size: int) -> np.ndarray:
@@ -45,7 +48,13 @@ class Occurrences:
 
     def find(self, text: str, since: int = 0) -> int:
         """The first place from since on, -1 if there is none."""
+        if self.left > 0:
+            at = self.text.find(text, since)
+            self.left -= (len(self.text) if at < 0 else at + len(text)) - since
+            return at
         size = LONG if len(text) >= LONG else SHORT
+        if size not in self._sorted:
+            self._sorted[size] = self._starts(size)
         (own,) = self._hashes(text[:size], size)
         hashes, places = self._sorted[size]
         run = places[np.searchsorted(hashes, own, "left") : np.searchsorted(hashes, own, "right")]

@@ -44,3 +44,18 @@ def test_many_heard_lines_in_time():
         alignment.uncovered_stretches(x, song, 6)
         alignment.pairs_in_order(x, song)
     assert time.process_time() - began < 2.5
+
+
+def test_lines_at_the_cursor_without_sorting(monkeypatch):
+    from chronotext.operators import locating
+
+    dice = random.Random(10)
+    song = text(dice, 4000)
+    near = locating.Occurrences(song)
+    assert [near.find(song[k : k + 40], k) for k in range(0, 3900, 40)] == list(range(0, 3900, 40)) and not near._sorted
+    monkeypatch.setattr(locating, "WALKS", 0)
+    sorted_ones = locating.Occurrences(song)
+    for _ in range(300):
+        k, n, since = dice.randrange(3900), dice.randrange(2, 30), dice.randrange(4000)
+        line = song[k : k + n] if dice.random() < 0.8 else text(dice, 12)
+        assert locating.Occurrences.find(near, line, since) == sorted_ones.find(line, since) == song.find(line, since)
