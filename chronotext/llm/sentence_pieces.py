@@ -5,10 +5,13 @@ is built from them once, on the driver, and shipped to the tasks (its size is th
 vocabulary). Encoding takes the path of the greatest sum of scores (Viterbi). A character
 that is no piece gets a score below all others and is written as byte pieces. White space
 is written as a marker, and a marker is put before the text; decoding undoes both.
+A piece that scores below other pieces which together spell it is on no best path, whatever
+stands around it, so the trie is built without such pieces.
 
 In the files at hand no piece has a marker after another character, so a text's best path
 consists of those of its words with the markers before them. Words are encoded once for as
-long as a process remembers them, many at a time: all words' states walk the trie together.
+long as a process remembers them, many at a time: first all places of all words walk the trie
+together, then the words' best paths grow byte by byte, a column for each word.
 A long word goes byte by byte, and what all its open paths share is settled as it goes, so its
 back pointers span a stretch and not the word.
 """
@@ -35,6 +38,10 @@ MARK = "▁"
 #: Kinds of pieces in model files, and how far below the least score an unknown character is.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 PENALTY = 10.0
+#: How far, relative to its score, a piece must be below others to be left out: beyond rounding.
+MARGIN = 1e-6
+#: Bytes of words that are encoded at once, and what stands after a word's end: no byte.
+CELLS, NO_BYTE = 1 << 16, 256
 #: Places of a double array that are tried at once.
 CHUNK = 1024
 #: Bytes of words and ids that a process remembers before it starts anew, about; longer words
@@ -148,6 +155,26 @@ def build_trie(words: dict[bytes, int]) -> Trie:
     return Trie(np.pad(base, (0, pad))[:room], np.pad(check, (0, pad), constant_values=-1)[:room], np.pad(piece, (0, pad), constant_values=-1)[:room])
 
 
+def useful(pieces: dict[bytes, float]) -> dict[bytes, float]:
+    """The pieces that can be on a best path: those that no other pieces spell with a greater sum."""
+    kept, lengths = {}, sorted({len(p) for p in pieces})
+    for word, score in pieces.items():
+        n, best = len(word), {0: 0.0}
+        for p in range(n):
+            own = best.get(p)
+            if own is None:
+                continue
+            for d in lengths:
+                if p + d > n or d == n:
+                    break
+                add = pieces.get(word[p : p + d])
+                if add is not None and own + add > best.get(p + d, float("-inf")):
+                    best[p + d] = own + add
+        if best.get(n, float("-inf")) <= score + MARGIN * max(1.0, abs(score)):
+            kept[word] = score
+    return kept
+
+
 class Model:
     """What encoding and decoding need; made on the driver, small, and shipped to tasks."""
 
@@ -155,9 +182,11 @@ class Model:
         normal = [s for _, s, kind in pieces if kind == NORMAL]
         self.scores = np.array([s for _, s, _ in pieces], np.float64)
         self.unknown_score = min(normal, default=0.0) - PENALTY
-        self.trie = build_trie({p.encode(): i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)})
+        number = {p.encode(): i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
+        self.trie = build_trie({p: number[p] for p in useful({p: float(self.scores[i]) for p, i in number.items()})})
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
+        self.byte_ids = np.array([self.bytes.get(c, self.unknown) for c in range(256)], np.uint32)
         self.splits = not any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind in (NORMAL, USER))
         written = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.encode() for p, _, kind in pieces]
         self.text = np.frombuffer(b"".join(written), np.uint8)
@@ -166,77 +195,123 @@ class Model:
     def viterbi(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word's best path; of equal paths the one with longer first pieces
         at the last place where they differ."""
-        found: list[list[int]] = [self._long(w) if len(w) > LONG_WORD else [] for w in words]
-        order = sorted((i for i, w in enumerate(words) if len(w) <= LONG_WORD), key=lambda i: len(words[i]))
-        at = 0
+        flat, counts = self.paths(words)
+        ids, stops = flat.tolist(), np.cumsum(counts).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
+
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all words' best paths one after another, counts[i] of them each."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(words) + bytes(LONG_WORD), np.uint8)
+        order = np.argsort(sizes, kind="stable")
+        order = order[: np.searchsorted(sizes[order], LONG_WORD, "right")]
+        who, found, counts, at = [], [], np.zeros(len(words), np.int64), 0
         while at < len(order):
-            stop = at
-            while stop < len(order) and (stop == at or (stop - at + 1) * len(words[order[stop]]) <= 1 << 16):
-                stop += 1
-            own = [words[i] for i in order[at:stop]]
-            for i, ids in zip(order[at:stop], self._viterbi(own)):
-                found[i] = ids
+            most = sizes[order[at : at + CELLS]] * np.arange(1, min(CELLS, len(order) - at) + 1)
+            stop = at + max(1, int(np.searchsorted(most, CELLS, "right")))
+            own = order[at:stop]
+            ids, counts[own] = self._together(data, starts[own], sizes[own])
+            who.append(own)
+            found.append(ids)
             at = stop
-        return found
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            own = np.array(self._long(words[i]), np.uint32)
+            who.append(np.array([i]))
+            found.append(own)
+            counts[i] = len(own)
+        if not who:
+            return np.zeros(0, np.uint32), counts
+        who, ends = np.concatenate(who), np.cumsum(counts)
+        length = counts[who]
+        flat = np.empty(int(ends[-1]), np.uint32)
+        flat[np.arange(len(flat)) + np.repeat(ends[who] - np.cumsum(length), length)] = np.concatenate(found)
+        return flat, counts
 
     def _viterbi(self, words: list[bytes]) -> list[list[int]]:
-        n, length = len(words), max(map(len, words))
-        text = np.zeros((length + 1, n), np.int64)  # a column for each word
+        """As ``viterbi``, with all words at once."""
         sizes = np.array([len(w) for w in words])
-        for i, w in enumerate(words):
-            text[: len(w), i] = np.frombuffer(w, np.uint8)
+        flat, counts = self._together(np.frombuffer(b"".join(words) + bytes(int(sizes.max())), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        return [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+
+    def _together(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``paths``, of the words of data that begin at starts."""
+        n, length = len(sizes), int(sizes.max(initial=0))
+        rows = np.arange(length)[:, None]
+        text = np.where(rows < sizes, data[starts + rows], NO_BYTE)  # a column for each word
+        gains, kept = self._matches(text)
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0
-        came, made = np.zeros((length + 1, n), np.int32), np.full((length + 1, n), -1, np.int32)
-        lead = text[:length]
-        width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        came = np.zeros((length + 1, n), np.int64)
+        depths = sorted(gains, reverse=True)  # of equal sums the longest last piece stays
+        for end in range(1, length + 1):
+            to, by = best[end], came[end]
+            for d in depths:
+                if d <= end and gains[d][1][end - d]:
+                    total = best[end - d] + gains[d][0][end - d]
+                    better = total > to
+                    np.copyto(to, total, where=better)
+                    np.copyto(by, d, where=better)
+        # back from the ends, a step of all words at a time
+        steps, cols, places = [], np.flatnonzero(sizes), sizes[sizes > 0]
+        counts, flat_came = np.zeros(n, np.int64), came.ravel()
+        while len(cols):
+            d = flat_came[places * n + cols]
+            if not d.all():
+                raise ValueError("a word has no path: scores must be finite and words UTF-8")
+            places = places - d
+            ids = kept[d, places * n + cols]
+            many = np.where(ids < 0, d, 1) if self.bytes else 1
+            counts[cols] += many
+            steps.append((cols, places, ids, many))
+            more = places > 0
+            cols, places = cols[more], places[more]
+        left = np.cumsum(counts)
+        flat = np.empty(int(left[-1]) if n else 0, np.uint32)
+        for cols, places, ids, many in steps:
+            left[cols] -= many
+            at = left[cols]
+            flat[at] = np.where(ids < 0, self.unknown, ids)
+            odd = np.flatnonzero(ids < 0)
+            for i in range(4 if len(odd) and self.bytes else 0):
+                odd = odd[many[odd] > i]
+                flat[at[odd] + i] = self.byte_ids[text[places[odd] + i, cols[odd]]]
+        return flat, counts
+
+    def _matches(self, text: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """By length in bytes the score of the piece, or the unknown character, at each place of
+        text, with the rows that have any; and the pieces' ids by length and place, -2 for unknown."""
         base, check, piece = self.trie.base, self.trie.check, self.trie.piece
-        for p in range(length):
-            live = np.flatnonzero((best[p] > -np.inf) & (sizes > p))
-            if not len(live):
-                continue
-            char = width[p, live]
-            single = np.zeros(len(live), bool)
-            state, own, depth = np.zeros(len(live), np.int64), np.arange(len(live)), 0
-            while len(own):
-                row = p + depth
-                own_live = live[own]
-                step = base[state] + text[row, own_live]
-                ok = (check[step] == state) & (sizes[own_live] > row)
-                own, state = own[ok], step[ok].astype(np.int64)
-                depth += 1
-                ids = piece[state]
-                hit = ids >= 0
-                if hit.any():
-                    who, got = own[hit], ids[hit]
-                    single[who] |= char[who] == depth
-                    cols = live[who]
-                    total = best[p, cols] + self.scores[got]
-                    better = total > best[p + depth, cols]
-                    cols = cols[better]
-                    best[p + depth, cols], came[p + depth, cols], made[p + depth, cols] = total[better], p, got[better]
-            lone = np.flatnonzero(~single)
-            if len(lone):
-                cols, ends = live[lone], p + char[lone]
-                total = best[p, cols] + self.unknown_score
-                better = total > best[ends, cols]
-                cols, ends = cols[better], ends[better]
-                best[ends, cols], came[ends, cols], made[ends, cols] = total[better], p, -2
-        out, came_l, made_l = [], came.T.tolist(), made.T.tolist()
-        for i, w in enumerate(words):
-            ids, p, came_i, made_i = [], len(w), came_l[i], made_l[i]
-            while p > 0:
-                q = came_i[p]
-                if made_i[p] >= 0:
-                    ids.append(made_i[p])
-                elif self.bytes:
-                    ids += [self.bytes[c] for c in reversed(w[q:p])]
-                else:
-                    ids.append(self.unknown)
-                p = q
-            ids.reverse()
-            out.append(ids)
-        return out
+        length, n = text.shape
+        flat = text.ravel()
+        at = np.flatnonzero((flat < 0x80) | (flat >= 0xC0) & (flat < NO_BYTE))  # where characters begin
+        lead = flat[at]
+        char = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        heads, width, single = at, char, np.zeros(length * n, bool)
+        state, hits, depth = np.zeros(len(at), np.int64), [], 0
+        while len(at):
+            step = base[state] + flat[at + depth * n]
+            ok = np.flatnonzero(check[step] == state)
+            at, state, char = at[ok], step[ok], char[ok]
+            depth += 1
+            ids = piece[state]
+            hit = np.flatnonzero(ids >= 0)
+            if len(hit):
+                hits.append((depth, at[hit], ids[hit]))
+                single[at[hit[char[hit] == depth]]] = True
+            ok = np.flatnonzero((base[state] > 0) & (at + depth * n < len(flat)))
+            at, state, char = at[ok], state[ok], char[ok]
+        lone = np.flatnonzero(~single[heads])
+        hits += [(w, heads[own], -2) for w in range(1, 5) if len(own := lone[width[lone] == w])]
+        gains: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        kept = np.empty((max((d for d, _, _ in hits), default=0) + 1, length * n), np.int32)
+        for d, own, ids in hits:
+            if d not in gains:
+                gains[d] = np.full((length, n), -np.inf), np.zeros(length, bool)
+            gains[d][0].ravel()[own] = self.unknown_score if isinstance(ids, int) else self.scores[ids]
+            gains[d][1][own // n] = True
+            kept[d, own] = ids
+        return gains, kept
 
     def _written(self, word: bytes, start: int, stop: int, came: dict[int, int], made: dict[int, int]) -> list[int]:
         """The ids of the path from start to stop, whose back pointers go."""
@@ -336,9 +411,9 @@ class Encoder:
     def _learn(self, words: set[str], spaced: bool) -> WordCache:
         """The cache, which has words from now on."""
         cache, before = (self.spaced, MARK) if spaced else (self.odd, "")
-        ordered = sorted(words)
-        for word, ids in zip(ordered, self.model.viterbi([(before + w).encode("utf-8", "replace") for w in ordered])):
-            cache.add(word, ids)
+        if words:
+            own = list(words)
+            cache.add(own, *self.model.paths([(before + w).encode("utf-8", "replace") for w in own]))
         return cache
 
     def _in_parts(self, pieces: list[str], spaced: bool) -> np.ndarray:

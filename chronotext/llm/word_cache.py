@@ -14,17 +14,18 @@ class WordCache:
     def __len__(self) -> int:
         return len(self.number)
 
-    def add(self, word: str, ids: list[int]) -> None:
+    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Words that are not there yet, with their ids one after another, counts[i] of them each."""
         k = len(self.number)
-        if k + 2 > len(self._starts):
+        while k + len(words) + 1 > len(self._starts):
             self._starts = np.concatenate((self._starts, np.zeros_like(self._starts)))
         while self._used + len(ids) > len(self._flat):
             self._flat = np.concatenate((self._flat, np.zeros_like(self._flat)))
         self._flat[self._used : self._used + len(ids)] = ids
+        self._starts[k + 1 : k + len(words) + 1] = self._used + np.cumsum(counts)
         self._used += len(ids)
-        self._starts[k + 1] = self._used
-        self.number[word] = k
-        self.held += 120 + len(word) + 4 * len(ids)
+        self.number.update(zip(words, range(k, k + len(words))))
+        self.held += 120 * len(words) + sum(map(len, words)) + 4 * len(ids)
 
     def ids(self, numbers: list[int]) -> np.ndarray:
         """The ids of words, by their numbers, one after another."""

@@ -78,3 +78,48 @@ def test_memory_of_a_text_of_distinct_words(model, monkeypatch):
     got = encoder.encode(texts)
     assert max(held) < 20_000 + 100 * 200
     assert all((a == b).all() for a, b in zip(got, [Encoder(model).encode([t])[0] for t in texts]))
+
+
+def test_cpu_of_distinct_words():
+    """In units of a fixed load: about 1; with every piece in the trie and words one by one 3.7 at least."""
+    own = Model(sentence_pieces.read_pieces(sentence_pieces.model_path()))
+    dice = random.Random(11)
+    texts = [" ".join("".join(dice.choice("abcdefghilmnoprstuäé.,") for _ in range(dice.randint(3, 14))) for _ in range(40_000)) for _ in range(3)]
+    loads, took = [], []
+    for text in texts:
+        began = time.process_time()
+        sum(i * i % 7 for i in range(1_000_000))
+        loads.append(time.process_time() - began)
+        began = time.process_time()
+        (ids,) = Encoder(own).encode([text])
+        took.append(time.process_time() - began)
+        assert own.decode_all(ids.astype(np.int64), np.array([len(ids)])) == [text]
+    assert min(took) < 2 * min(loads)
+
+
+def test_pieces_on_no_best_path_are_left_out(monkeypatch):
+    dice = random.Random(12)
+    fewer = 0
+    for case in range(60):
+        letters = "".join(dice.choice("abcé") for _ in range(200))
+        names = sorted({letters[i : i + dice.randint(1, 6)] for i in range(0, 190, dice.randint(2, 20))} - {"c"})
+        pieces = [*SMALL[:257], *[(w, -float(dice.randint(0, 6)) if case % 2 else -dice.random() * 9, NORMAL) for w in names]]
+        words = ["".join(dice.choice("abcé漢") for _ in range(dice.randint(1, 30))).encode() for _ in range(60)]
+        with monkeypatch.context() as m:
+            m.setattr(sentence_pieces, "useful", lambda own: own)
+            whole = Model(pieces)
+        fit = Model(pieces)
+        fewer += (fit.trie.piece >= 0).sum() < (whole.trie.piece >= 0).sum()
+        assert fit.viterbi(words) == whole.viterbi(words) == [whole._long(w) for w in words] == [fit._long(w) for w in words]
+    assert fewer > 20
+
+
+def test_words_of_all_lengths_in_order(model, monkeypatch):
+    """Groups of few cells, long words between short ones, empty ones, bytes of four."""
+    dice = random.Random(13)
+    words = ["".join(dice.choice("aabbcé漢😀\0") for _ in range(dice.choice((0, 1, 3, 9, 40, 150)))).encode() for _ in range(200)]
+    alone = [model.viterbi([w])[0] for w in words]
+    assert alone == [model._long(w) for w in words]
+    monkeypatch.setattr(sentence_pieces, "CELLS", 100)
+    assert model.viterbi(words) == alone
+    assert model.viterbi([]) == []
