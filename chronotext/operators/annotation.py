@@ -1,9 +1,10 @@
 """Timed lines (``trees.LINE``) with readings: put on by a song's rules, or built from units.
 
 A rule (rank, base, reading, begin, until) names a text and the time in which it is read so; its
-reading may hold stamps that count from the base's start. Lines meet rules by the text and by
-steps of time, so a song's lines and rules don't meet in pairs; then every line is worked on by
-itself.
+reading may hold stamps that count from the base's start. A song's lines are dealt in parts, in
+order of time, and a part's rules stream before its lines through one task; there lines meet
+rules by the text and by steps of time, so they don't meet in pairs. A task holds the rules that
+reach a part's time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from math import floor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,9 +23,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from chronotext.functions import trees
 
 STAMP = r"\[(\d+):(\d{2})[:.](\d{2,3})\]"
-#: Seconds by which a start may miss a rule's time (fixed value), the steps by which both meet, and the
-#: step of what holds for long.
-SLACK, STEP, ALWAYS = 0.001, 30.0, -1_000_000
+#: Seconds by which a start may miss a rule's time (fixed value), and the steps by which both meet.
+SLACK, STEP = 0.001, 30.0
+#: Lines of a song that share a copy of its rules, and lines that a task holds as Python's values.
+PART, AT_ONCE = 64, 64
 
 
 def parts(reading: str, begin: float, end: float | None) -> list[dict]:
@@ -52,49 +55,140 @@ def _parted(units: list[dict], at: int) -> list[dict]:
     return out
 
 
-def _reach_inside(words: list[dict], rule: dict) -> list[dict]:
-    """words with the rule's reading over each occurrence of its base that isn't a word itself,
-    touches no reading and is sung in the rule's time."""
-    base, text = rule["base"], "".join(w["text"] for w in words)
-    at = text.find(base)
-    while at >= 0:
-        stop = at + len(base)
-        edges = [0, *accumulate(len(w["text"]) for w in words)]
-        first, last = bisect_right(edges, at) - 1, bisect_left(edges, stop) - 1
-        touched = words[first : last + 1]
-        units = [u for w in touched for u in _units(w)]
-        borders = [edges[first], *(edges[first] + n for n in accumulate(len(u["text"]) for u in units))]
-        under = [i for i, (a, b) in enumerate(zip(borders, borders[1:])) if a < stop and b > at]
-        whole = first == last and edges[first] == at and edges[last + 1] == stop
-        known = all(units[i][c] is not None and not units[i]["ruby"] for i in under for c in ("startTime", "endTime"))
-        if not whole and known:
-            head = units[under[0]]
-            latest = head["endTime"] if borders[under[0]] < at else head["startTime"]
-            if latest >= rule["begin"] - SLACK and head["startTime"] <= rule["until"] + SLACK:
-                units = _parted(_parted(units, at - edges[first]), stop - edges[first])
-                begins = [edges[first], *(edges[first] + n for n in accumulate(len(u["text"]) for u in units))]
-                inner = [u for u, b in zip(units, begins) if at <= b < stop and u["text"]]
-                ruby = parts(rule["reading"], inner[0]["startTime"], inner[-1]["endTime"])
-                target = {"text": base, "startTime": inner[0]["startTime"], "endTime": inner[-1]["endTime"], "ruby": ruby}
-                before = [u for u, b in zip(units, begins) if b < at or b == at and not u["text"]]
-                after = [u for u, b in zip(units, begins) if b >= stop]
-                joined = {"text": "".join(w["text"] for w in touched), "startTime": touched[0]["startTime"], "endTime": touched[-1]["endTime"], "syllables": [*before, target, *after]}
-                words = [*words[:first], joined, *words[last + 1 :]]
-        at = text.find(base, stop)
-    return words
-
-
-def with_readings(line: dict, whole: list[dict], inside: list[dict]) -> dict:
-    """The line with readings over whole words (n, reading; none takes a word's readings away),
-    then those inside words or across them, longest base first."""
-    words = list(line["words"])
-    for r in whole:
-        w = words[r["n"]]
-        ruby = parts(r["reading"], w["startTime"], w["endTime"]) if r["reading"] else None
-        words[r["n"]] = {**w, "syllables": [{**{c: w[c] for c in ("text", "startTime", "endTime")}, "ruby": ruby}] if ruby else None}
-    for rule in sorted(inside, key=lambda r: (-len(r["base"]), r["rank"])):
-        words = _reach_inside(words, rule)
-    return {**line, "words": words}
+class _Reach:
+    """Words that take readings inside them or across them. Borders of words and of their units are
+    kept and change only where a reading is put."""
+
+    def __init__(self, words: list[dict]) -> None:
+        self.words, self.text = words, "".join(w["text"] for w in words)
+        self.edges = [0, *accumulate(len(w["text"]) for w in words)]
+        self.units: list[list[dict] | None] = [None] * len(words)
+        self.borders: list[list[int]] = [[]] * len(words)
+        # units that are other text than their word stand elsewhere after each joining
+        self.even = all(not w["syllables"] or sum(len(u["text"]) for u in w["syllables"]) == len(w["text"]) for w in words)
+        self.read = bytearray(len(self.text))  # 1 under a reading
+        for n, w in enumerate(words if self.even else []):
+            if w["syllables"]:
+                own, borders = self._own(n)
+                for u, a, b in zip(own, borders, borders[1:]):
+                    self.read[a:b] = bytes([bool(u["ruby"])]) * (b - a)
+
+    def forward(self) -> bool:
+        """Whether each unit stands on its text and ends no earlier than it begins: then a rule that was
+        not put on finds no more places when it comes again."""
+        return self.even and all(u["startTime"] is None or u["endTime"] is None or u["startTime"] <= u["endTime"] for w in self.words for u in _units(w))
+
+    def _own(self, n: int) -> tuple[list[dict], list[int]]:
+        if self.units[n] is None:
+            self.units[n] = _units(self.words[n])
+            self.borders[n] = [self.edges[n], *(self.edges[n] + k for k in accumulate(len(u["text"]) for u in self.units[n]))]
+        return self.units[n], self.borders[n]
+
+    def put(self, base: str, reading: str, begin: float, until: float) -> None:
+        """The reading over each occurrence of its base that isn't a word itself, touches no reading
+        and is sung in the rule's time."""
+        at = self.text.find(base)
+        while at >= 0:
+            stop = at + len(base)
+            if not self.even or self.read.find(1, at, stop) < 0:
+                self._put(at, stop, base, reading, begin, until)
+            at = self.text.find(base, stop)
+
+    def _put(self, at: int, stop: int, base: str, reading: str, begin: float, until: float) -> None:
+        edges = self.edges
+        first = bisect_right(edges, at) - 1
+        last = bisect_left(edges, stop, first) - 1
+        if first == last and edges[first] == at and edges[last + 1] == stop:
+            return
+        units, borders = self._own(first)
+        if first < last:
+            units, borders = list(units), list(borders)
+            for n in range(first + 1, last + 1):
+                more, ends = self._own(n)
+                moved = borders[-1] - ends[0]
+                units += more
+                borders += [x + moved for x in ends[1:]] if moved else ends[1:]
+        i, j = bisect_right(borders, at) - 1, min(bisect_left(borders, stop), len(units))
+        if i >= j or any(u["startTime"] is None or u["endTime"] is None or u["ruby"] for u in units[i:j]):
+            return
+        head, cut = units[i], at - borders[i]
+        if (head["endTime"] if cut else head["startTime"]) < begin - SLACK or head["startTime"] > until + SLACK:
+            return
+        under = _parted(_parted(units[i:j], cut), stop - borders[i])
+        begins = [borders[i], *(borders[i] + n for n in accumulate(len(u["text"]) for u in under))]
+        inner = [u for u, b in zip(under, begins) if at <= b < stop and u["text"]]
+        start, end = inner[0]["startTime"], inner[-1]["endTime"]
+        target = {"text": base, "startTime": start, "endTime": end, "ruby": parts(reading, start, end)}
+        before = units[:i] + [u for u, b in zip(under, begins) if b < at]
+        after = [u for u, b in zip(under, begins) if b >= stop]
+        done = [*before, target, *after, *units[j:]]
+        if self.even:
+            ends = [*borders[: i + 1], *([at] if cut else []), *([stop] if after else []), *borders[j:]]
+        else:
+            ends = [edges[first], *(edges[first] + n for n in accumulate(len(u["text"]) for u in done))]
+        self.read[at:stop] = b"\1" * (stop - at)
+        w, z = self.words[first], self.words[last]
+        joined = {"text": w["text"] if first == last else "".join(x["text"] for x in self.words[first : last + 1]), "startTime": w["startTime"], "endTime": z["endTime"], "syllables": done}
+        self.words[first : last + 1], self.units[first : last + 1], self.borders[first : last + 1] = [joined], [done], [ends]
+        del edges[first + 1 : last + 1]
+
+
+class _Rules:
+    """A song's rules as a part of its lines needs them: by size and text, those of a short time also
+    by steps of time."""
+
+    def __init__(self) -> None:
+        self.spent, self.ever, self.near = set(), {}, {}
+
+    def add(self, rank, base: str, reading: str, begin: float, until: float, sung: bool) -> None:
+        found = [self.ever]
+        if until - begin <= 4 * STEP:
+            found = [self.near.setdefault(k, {}) for k in range(floor((begin - SLACK) / STEP), floor((max(begin, until) + SLACK) / STEP) + 1)]
+        rule = (reading, begin, until, sung and rank not in self.spent)
+        for x in found:
+            x.setdefault(len(base), {}).setdefault(base, {}).setdefault(rule, []).append(rank)
+
+    def over(self, line: dict) -> dict:
+        """The line with readings over whole words (none takes a word's readings away), then those inside
+        words or across them, longest base first."""
+        words = line["words"]
+        starts = [w["startTime"] for w in words if w["startTime"] is not None]
+        if not starts:
+            return line
+        first = min(starts)
+        last = max([first, *(w["endTime"] for w in words if w["endTime"] is not None)])
+        low, high = (first - SLACK) / STEP, (max([last, *starts]) + SLACK) / STEP
+        near = [self.ever, *(x for k, x in self.near.items() if low < k + 1 and k <= high)]
+        words, whole = list(words), 0
+        for n, w in enumerate(words):
+            t, start, top = w["text"], w["startTime"], None
+            if t and start is not None:
+                for x in near:
+                    for (reading, begin, until, _), ranks in x.get(len(t), {}).get(t, {}).items():
+                        if begin - SLACK <= start <= until + SLACK and (top is None or top[0] < ranks[-1]):
+                            top = ranks[-1], reading
+            if top:
+                whole += 1
+                ruby = parts(top[1], start, w["endTime"]) if top[1] else None
+                words[n] = {**w, "syllables": [{**{c: w[c] for c in ("text", "startTime", "endTime")}, "ruby": ruby}] if ruby else None}
+        text = "".join(w["text"] or "" for w in words)
+        inside, again = {}, False
+        for x in near:
+            for size, own in x.items():
+                # whichever is less: the texts of this size in the line, or those that rules have
+                bases = [b for b in own if b in text] if len(own) < len(text) else own.keys() & {text[i : i + size] for i in range(len(text) - size + 1)}
+                for base in bases:
+                    for (reading, begin, until, free), ranks in own[base].items():
+                        if free and first <= until + SLACK and last >= begin - SLACK:
+                            inside[base, reading, begin, until] = ranks
+                            again |= len(ranks) > 1
+        if inside:
+            reach = _Reach(words)
+            again = again and not reach.forward()
+            for _, _, rule in sorted((-len(rule[0]), rank, rule) for rule, ranks in inside.items() for rank in (ranks if again else ranks[:1])):
+                reach.put(*rule)
+            words = reach.words
+        return {**line, "words": words} if whole or inside else line
 
 
 def _steps(begin: Column, end: Column) -> Column:
@@ -110,51 +204,61 @@ def annotated(lines: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
     time. Without begin a rule holds from 0, without until for ever. Lines of a null key, without
     words or without rules stay as they are; rules without a base do nothing. Lines' other
     columns stay; (by, place) tells lines apart, (by, rank) rules."""
-    if taken := {"_whole", "_inside"} & set(lines.columns):
+    if taken := {"_part", "_from", "_to", "_kind", "_rank", "_base", "_reading", "_begin", "_until", "_sung"} & set(lines.columns):
         raise ValueError(f"lines have columns named {sorted(taken)}")
     ever = F.lit(float("inf"))
     sung = F.regexp_replace(F.coalesce("reading", F.lit("")), STAMP, "") != ""
-    r = rules.where("base <> ''").select(*by, "rank", "base", F.coalesce("reading", F.lit("")).alias("reading"), F.coalesce(F.col("begin").cast("double"), F.lit(0.0)).alias("begin"), F.coalesce(F.col("until").cast("double"), ever).alias("until"), sung.alias("sung"))
-    # All sides grow with the songs, and their rows take far more in memory than as shuffle files, by
-    # whose size Spark would send them through the driver: so they are merged.
-    # a rule that holds for long meets its text at one step for all times
-    short = F.col("until") - F.col("begin") <= 4 * STEP
-    r = r.withColumn("step", F.explode(F.when(short, _steps(F.col("begin"), F.greatest("begin", "until"))).otherwise(F.array(F.lit(ALWAYS).cast("long")))))
-    both_ways = lambda steps: F.array_append(steps, F.lit(ALWAYS).cast("long"))
-
-    own = lines.select(*by, "place", F.posexplode("line.words").alias("n", "w")).select(*by, "place", "n", F.col("w.text").alias("base"), F.col("w.startTime").alias("start"))
-    own = own.where("start is not null").withColumn("step", F.explode(both_ways(_steps(F.col("start"), F.col("start")))))
-    met = own.join(r.hint("merge"), [*by, "base", "step"]).where((F.col("start") >= F.col("begin") - SLACK) & (F.col("start") <= F.col("until") + SLACK))
-    counts = met.where(F.col("sung") | (F.col("reading") == ""))
-    top = counts.groupBy(*by, "place", "n").agg(F.max_by("reading", "rank").alias("reading"))
-    whole = top.groupBy(*by, "place").agg(F.array_sort(F.collect_list(F.struct("n", "reading"))).alias("_whole"))
-    spent = met.where(F.col("sung") & (F.col("until") - F.col("begin") < SLACK)).select(*by, "rank").distinct()
-
-    left = r.where("sung").join(spent.hint("merge"), [*by, "rank"], "left_anti")
-    sizes = left.groupBy(*by).agg(F.collect_set(F.length("base")).alias("sizes"))
-    text = F.array_join(F.transform("line.words", lambda w: F.coalesce(w["text"], F.lit(""))), "")
+    r = rules.where("base <> ''").select(*by, F.col("rank").alias("_rank"), F.col("base").alias("_base"), F.coalesce("reading", F.lit("")).alias("_reading"), F.coalesce(F.col("begin").cast("double"), F.lit(0.0)).alias("_begin"), F.coalesce(F.col("until").cast("double"), ever).alias("_until"), sung.alias("_sung"))
+    r = r.where("_sung or _reading = ''")
+
+    # A song's lines in order of time, by parts, each with the rules of its time. All sides grow with the
+    # songs, so none goes through the driver.
     times = lambda c, f: f(F.transform("line.words", lambda w: w[c]))
-    spans = lines.select(*by, "place", text.alias("text"), times("startTime", F.array_min).alias("from"), times("endTime", F.array_max).alias("to")).where("text <> '' and `from` is not null").join(sizes.hint("merge"), by)
-    starts = lambda k: F.when(F.length("text") >= k, F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substring("text", i, k))).otherwise(F.array().cast("array<string>"))
-    found = spans.withColumn("base", F.explode(F.array_distinct(F.flatten(F.transform("sizes", starts)))))
-    found = found.withColumn("step", F.explode(both_ways(_steps(F.col("from"), F.greatest("from", "to")))))
-    rule = F.struct("rank", "base", "reading", "begin", "until")
-    met = found.join(left.hint("merge"), [*by, "base", "step"]).where((F.col("from") <= F.col("until") + SLACK) & (F.greatest("from", "to") >= F.col("begin") - SLACK))
-    inside = met.groupBy(*by, "place").agg(F.collect_set(rule).alias("_inside"))
-
-    # any order does for the rest: a line with its rules is all that a row needs
-    full = lines.join(whole.hint("merge"), [*by, "place"], "left").join(inside.hint("merge"), [*by, "place"], "left").select(*lines.columns, "_whole", "_inside")
+    own = lines.withColumn("_from", times("startTime", F.array_min)).withColumn("_to", F.greatest("_from", times("startTime", F.array_max), times("endTime", F.array_max)))
+    own = own.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("_from", "_to")) - 1) / PART))
+    spans = own.groupBy(*by, "_part").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    met = spans.join(r.hint("merge"), by).where((F.col("_from") <= F.greatest("_begin", "_until") + SLACK) & (F.col("_to") >= F.col("_begin") - SLACK))
+
+    # what is spent for a whole song; only songs with rules of a moment have their words looked up
+    moments = r.where(F.col("_sung") & (F.col("_until") - F.col("_begin") < SLACK)).withColumn("step", F.explode(_steps(F.col("_begin"), F.greatest("_begin", "_until"))))
+    words = lines.select(*by, "line").join(moments.select(*by).distinct().hint("shuffle_hash"), by, "left_semi").select(*by, F.explode("line.words").alias("w")).select(*by, F.col("w.text").alias("_base"), F.col("w.startTime").alias("start"))
+    words = words.where("start is not null").withColumn("step", F.explode(_steps(F.col("start"), F.col("start"))))
+    spent = words.join(moments.hint("merge"), [*by, "_base", "step"]).where((F.col("start") >= F.col("_begin") - SLACK) & (F.col("start") <= F.col("_until") + SLACK)).select(*by, "_rank").distinct()
+
+    kind = lambda df, k: df.drop("_from", "_to").withColumn("_kind", F.lit(k))
+    every = kind(own, 3)
+    for k, df in enumerate((spans, spans.join(spent.hint("merge"), by), met)):
+        every = every.unionByName(kind(df, k), allowMissingColumns=True)
     arrow, at = to_arrow_schema(lines.schema), lines.columns.index("line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        song, rows, done = _Rules(), [], []
+
+        def flush(batch: pa.RecordBatch) -> pa.RecordBatch:
+            some = batch.take(pa.array(rows))
+            columns = [pa.array(done, f.type) if k == at else some.column(f.name).cast(f.type) for k, f in enumerate(arrow)]
+            rows.clear(), done.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
         for batch in batches:
-            line, w, i = (batch.column(c).to_pylist() for c in ("line", "_whole", "_inside"))
-            done = [x if x is None or x["words"] is None or not (a or b) else with_readings(x, a or [], b or []) for x, a, b in zip(line, w, i)]
-            columns = [batch.column(k) for k in range(len(arrow))]
-            columns[at] = pa.array(done, arrow.field(at).type)
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+            line = batch.column("line")
+            for n, (k, *rule) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_kind", "_rank", "_base", "_reading", "_begin", "_until", "_sung")])):
+                if k == 3:
+                    x = line[n].as_py()
+                    rows.append(n)
+                    done.append(song.over(x) if x and x["words"] and (song.ever or song.near) else x)
+                    if len(done) == AT_ONCE:
+                        yield flush(batch)
+                elif k == 2:
+                    song.add(*rule)
+                elif k == 1:
+                    song.spent.add(rule[0])
+                else:
+                    song = _Rules()
+            if done:
+                yield flush(batch)
 
-    return full.mapInArrow(run, lines.schema)
+    return every.repartition(*by, "_part").sortWithinPartitions(*by, "_part", "_kind", "_rank").mapInArrow(run, lines.schema)
 
 
 def built(units: DataFrame, by: list[str]) -> DataFrame:

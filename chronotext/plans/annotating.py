@@ -16,8 +16,10 @@ query = Registry()
 _WORDS_SQL = r"w AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS own FROM conversations)"
 
 
-def _words(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", texts.words(F.lower(F.coalesce("text", F.lit("")))).alias("own"))
+def _words(spark: SparkSession, sf: str, *by: str) -> DataFrame:
+    """by: what the texts are dealt by, which for them is less than for all that is made of them."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return (turns.repartition(*by) if by else turns).select("conv_id", "turn", texts.words(F.lower(F.coalesce("text", F.lit("")))).alias("own"))
 
 
 @query(f"""WITH {_WORDS_SQL}, s AS (SELECT conv_id, turn, array_to_string(list_transform(own, lambda x, i: CASE i % 3 WHEN 1 THEN translate(left(x, 2), '{LETTERS}', '{SIGNS}') || '(' || translate(x, '{LETTERS}', '{SOUNDS}') || ')' WHEN 2 THEN '｜' || x || '（' || translate(x, '{LETTERS}', '{SOUNDS}') || '）' ELSE x END), ' ') AS text FROM w),
@@ -55,7 +57,7 @@ def lines_from_units(spark: SparkSession, sf: str) -> DataFrame:
 def _sung(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(lines, rules): a conversation's turns one after another, a minute each, and as rules every
     seventh stretch of two letters within its words or across them, some for a time only."""
-    own = _words(spark, sf)
+    own = _words(spark, sf, "conv_id")
     at = lambda i: F.col("turn") * 60.0 + i * 0.37
     word = lambda x, i: F.struct(x.alias("text"), at(i).alias("startTime"), at(i + 1).alias("endTime"), F.lit(None).alias("syllables"))
     line = F.struct(F.array_join("own", "").alias("fullText"), F.lit(None).alias("translation"), at(F.lit(0)).alias("startTime"), at(F.size("own")).alias("endTime"), F.transform("own", word).alias("words"))

@@ -139,3 +139,57 @@ def test_no_songs_through_the_driver(spark):
 
     plan = annotating.annotated_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def shuffled(spark, df):
+    """Rows that the stages of df write for others."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    empty = spark.sparkContext._jvm.java.util.ArrayList()
+
+    def each():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, none, empty)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = each()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in each().items() if k not in before)
+
+
+def test_rows_between_stages_are_lines_and_rules(spark):
+    words = [("abcdef"[i % 3 :], i / 2, i / 2 + 0.5) for i in range(60)]
+    lines = [(song, place, line(*[(t, place * 60 + a, place * 60 + b) for t, a, b in words])) for song in range(5) for place in range(8)]
+    rules = [(song, k, "abcdef"[k % 4 : k % 4 + 2 + k % 2], "x", *((None, None) if k % 3 else (k * 1.0, k + 4.0))) for song in range(5) for k in range(40)]
+    df = annotation.annotated(spark.createDataFrame(lines, LINES), spark.createDataFrame(rules, RULES), ["song"])
+    # 605 rows; by pieces of the lines' texts there were 13515
+    assert shuffled(spark, df) <= 4 * (len(lines) + len(rules))
+
+
+def test_parts_of_a_song(spark, monkeypatch):
+    """Lines that reach over borders of parts, and rules that are spent in another part."""
+    monkeypatch.setattr(annotation, "PART", 2)
+    dice, lines, rules, want = random.Random(12), [], [], {}
+    for song in range(12):
+        filled = []
+        for rank in range(10):
+            begin = dice.choice([0.0, dice.randrange(100) / 2])
+            until = dice.choice([begin, begin, begin + 3, begin + 500, float("inf")])
+            filled.append((rank, "".join(dice.choices("ab", k=dice.randrange(1, 4))), dice.choice(["", "x", "yy"]), begin, until))
+        # the same rule twice
+        filled.append((10, *filled[0][1:]))
+        rules += [(song, *r) for r in filled]
+        made, hit = [], set()
+        for place in range(9):
+            t, words = place * 5.0, []
+            for _ in range(dice.randrange(1, 30)):
+                words.append(("".join(dice.choices("ab", k=dice.randrange(1, 4))), t, t + 0.5))
+                t += 0.5
+            made.append(words)
+            hit |= {k for k, b, r, x, y in filled for w, s, _ in words if w == b and r and y - x < 0.001 and x - 0.001 <= s <= y + 0.001}
+            lines.append((song, place, line(*words)))
+        for place, words in enumerate(made):
+            want[song, place] = with_spent(words, filled, hit)
+    got = annotation.annotated(spark.createDataFrame(lines, LINES), spark.createDataFrame(rules, RULES), ["song"]).collect()
+    assert len(got) == len(lines)
+    for r in got:
+        assert shape(r.line) == want[r.song, r.place], (r.song, r.place)
