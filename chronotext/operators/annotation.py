@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 from math import floor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,82 +56,110 @@ def _parted(units: list[dict], at: int) -> list[dict]:
     return out
 
 
-class _Reach:
-    """Words that take readings inside them or across them. Borders of words and of their units are
-    kept and change only where a reading is put."""
+def _reach_inside(words: list[dict], base: str, reading: str, begin: float, until: float) -> list[dict]:
+    """words with the rule's reading over each occurrence of its base that isn't a word itself,
+    touches no reading and is sung in the rule's time."""
+    text = "".join(w["text"] for w in words)
+    at = text.find(base)
+    while at >= 0:
+        stop = at + len(base)
+        edges = [0, *accumulate(len(w["text"]) for w in words)]
+        first, last = bisect_right(edges, at) - 1, bisect_left(edges, stop) - 1
+        touched = words[first : last + 1]
+        units = [u for w in touched for u in _units(w)]
+        borders = [edges[first], *(edges[first] + n for n in accumulate(len(u["text"]) for u in units))]
+        under = [i for i, (a, b) in enumerate(zip(borders, borders[1:])) if a < stop and b > at]
+        whole = first == last and edges[first] == at and edges[last + 1] == stop
+        known = all(units[i][c] is not None and not units[i]["ruby"] for i in under for c in ("startTime", "endTime"))
+        if not whole and known:
+            head = units[under[0]]
+            latest = head["endTime"] if borders[under[0]] < at else head["startTime"]
+            if latest >= begin - SLACK and head["startTime"] <= until + SLACK:
+                units = _parted(_parted(units, at - edges[first]), stop - edges[first])
+                begins = [edges[first], *(edges[first] + n for n in accumulate(len(u["text"]) for u in units))]
+                inner = [u for u, b in zip(units, begins) if at <= b < stop and u["text"]]
+                ruby = parts(reading, inner[0]["startTime"], inner[-1]["endTime"])
+                target = {"text": base, "startTime": inner[0]["startTime"], "endTime": inner[-1]["endTime"], "ruby": ruby}
+                before = [u for u, b in zip(units, begins) if b < at or b == at and not u["text"]]
+                after = [u for u, b in zip(units, begins) if b >= stop]
+                joined = {"text": "".join(w["text"] for w in touched), "startTime": touched[0]["startTime"], "endTime": touched[-1]["endTime"], "syllables": [*before, target, *after]}
+                words = [*words[:first], joined, *words[last + 1 :]]
+        at = text.find(base, stop)
+    return words
+
+
+class _Even:
+    """Words that take readings inside them or across them, by places in the text: nothing but what
+    a reading touches is looked at for it. The same as ``_reach_inside`` where ``of`` holds."""
+
+    @staticmethod
+    def of(words: list[dict]) -> bool:
+        """Whether no text is empty and each word's units are its text."""
+        return all(w["text"] and (not w["syllables"] or (all(u["text"] for u in w["syllables"]) and sum(len(u["text"]) for u in w["syllables"]) == len(w["text"]))) for w in words)
 
     def __init__(self, words: list[dict]) -> None:
-        self.words, self.text = words, "".join(w["text"] for w in words)
-        self.edges = [0, *accumulate(len(w["text"]) for w in words)]
-        self.units: list[list[dict] | None] = [None] * len(words)
-        self.borders: list[list[int]] = [[]] * len(words)
-        # units that are other text than their word stand elsewhere after each joining
-        self.even = all(not w["syllables"] or sum(len(u["text"]) for u in w["syllables"]) == len(w["text"]) for w in words)
-        self.read = bytearray(len(self.text))  # 1 under a reading
-        for n, w in enumerate(words if self.even else []):
-            if w["syllables"]:
-                own, borders = self._own(n)
-                for u, a, b in zip(own, borders, borders[1:]):
-                    self.read[a:b] = bytes([bool(u["ruby"])]) * (b - a)
-
-    def forward(self) -> bool:
-        """Whether each unit stands on its text and ends no earlier than it begins: then a rule that was
-        not put on finds no more places when it comes again."""
-        return self.even and all(u["startTime"] is None or u["endTime"] is None or u["startTime"] <= u["endTime"] for w in self.words for u in _units(w))
-
-    def _own(self, n: int) -> tuple[list[dict], list[int]]:
-        if self.units[n] is None:
-            self.units[n] = _units(self.words[n])
-            self.borders[n] = [self.edges[n], *(self.edges[n] + k for k in accumulate(len(u["text"]) for u in self.units[n]))]
-        return self.units[n], self.borders[n]
+        self.text = "".join(w["text"] for w in words)
+        size = len(self.text)
+        # 1 where a word begins, where a unit begins, and where no reading may come any more
+        self.edges, self.borders, self.closed = bytearray(size + 1), bytearray(size + 1), bytearray(size)
+        self.edges[size] = self.borders[size] = 1
+        # by their first place; a word with its end, as it may take others in, and whether it has
+        self.words, self.units, self.joined = [None] * size, [None] * size, bytearray(size)
+        self.forward, n = True, 0
+        for w in words:
+            self.edges[n], self.words[n] = 1, (w, w["endTime"])
+            for u in _units(w):
+                self.borders[n], self.units[n], k = 1, u, len(u["text"])
+                if u["startTime"] is None or u["endTime"] is None or u["ruby"]:
+                    self.closed[n : n + k] = b"\1" * k
+                elif u["startTime"] > u["endTime"]:
+                    self.forward = False
+                n += k
 
     def put(self, base: str, reading: str, begin: float, until: float) -> None:
-        """The reading over each occurrence of its base that isn't a word itself, touches no reading
-        and is sung in the rule's time."""
-        at = self.text.find(base)
+        text, edges, borders, closed, units = self.text, self.edges, self.borders, self.closed, self.units
+        low, high, size = begin - SLACK, until + SLACK, len(base)
+        at = text.find(base)
         while at >= 0:
-            stop = at + len(base)
-            if not self.even or self.read.find(1, at, stop) < 0:
-                self._put(at, stop, base, reading, begin, until)
-            at = self.text.find(base, stop)
-
-    def _put(self, at: int, stop: int, base: str, reading: str, begin: float, until: float) -> None:
-        edges = self.edges
-        first = bisect_right(edges, at) - 1
-        last = bisect_left(edges, stop, first) - 1
-        if first == last and edges[first] == at and edges[last + 1] == stop:
-            return
-        units, borders = self._own(first)
-        if first < last:
-            units, borders = list(units), list(borders)
-            for n in range(first + 1, last + 1):
-                more, ends = self._own(n)
-                moved = borders[-1] - ends[0]
-                units += more
-                borders += [x + moved for x in ends[1:]] if moved else ends[1:]
-        i, j = bisect_right(borders, at) - 1, min(bisect_left(borders, stop), len(units))
-        if i >= j or any(u["startTime"] is None or u["endTime"] is None or u["ruby"] for u in units[i:j]):
-            return
-        head, cut = units[i], at - borders[i]
-        if (head["endTime"] if cut else head["startTime"]) < begin - SLACK or head["startTime"] > until + SLACK:
-            return
-        under = _parted(_parted(units[i:j], cut), stop - borders[i])
-        begins = [borders[i], *(borders[i] + n for n in accumulate(len(u["text"]) for u in under))]
-        inner = [u for u, b in zip(under, begins) if at <= b < stop and u["text"]]
-        start, end = inner[0]["startTime"], inner[-1]["endTime"]
-        target = {"text": base, "startTime": start, "endTime": end, "ruby": parts(reading, start, end)}
-        before = units[:i] + [u for u, b in zip(under, begins) if b < at]
-        after = [u for u, b in zip(under, begins) if b >= stop]
-        done = [*before, target, *after, *units[j:]]
-        if self.even:
-            ends = [*borders[: i + 1], *([at] if cut else []), *([stop] if after else []), *borders[j:]]
-        else:
-            ends = [edges[first], *(edges[first] + n for n in accumulate(len(u["text"]) for u in done))]
-        self.read[at:stop] = b"\1" * (stop - at)
-        w, z = self.words[first], self.words[last]
-        joined = {"text": w["text"] if first == last else "".join(x["text"] for x in self.words[first : last + 1]), "startTime": w["startTime"], "endTime": z["endTime"], "syllables": done}
-        self.words[first : last + 1], self.units[first : last + 1], self.borders[first : last + 1] = [joined], [done], [ends]
-        del edges[first + 1 : last + 1]
+            stop = at + size
+            if closed.find(1, at, stop) < 0:
+                a = borders.rfind(1, 0, at + 1)
+                head = units[a]
+                if head["startTime"] <= high and (head["endTime"] if a < at else head["startTime"]) >= low:
+                    first, last, end = edges.rfind(1, 0, at + 1), edges.rfind(1, 0, stop), edges.find(1, stop)
+                    if first < at or end > stop or first < last:
+                        z, b = borders.rfind(1, 0, stop), borders.find(1, stop)
+                        tail = units[z]
+                        start = head["startTime"]
+                        if a < at:
+                            start += (head["endTime"] - start) * (at - a) / len(head["text"])
+                            units[a] = {**head, "text": text[a:at], "endTime": start}
+                            if z == a:
+                                tail, z = {**head, "text": text[at:b], "startTime": start}, at
+                        until_ = tail["endTime"]
+                        if b > stop:
+                            until_ = tail["startTime"] + (until_ - tail["startTime"]) * (stop - z) / (b - z)
+                            units[stop] = {**tail, "text": text[stop:b], "startTime": until_}
+                            borders[stop] = 1
+                        borders[at:stop] = b"\1" + bytes(size - 1)
+                        ruby = parts(reading, start, until_) if "[" in reading else [{"text": reading, "startTime": start, "endTime": until_}]
+                        units[at] = {"text": base, "startTime": start, "endTime": until_, "ruby": ruby}
+                        closed[at:stop] = b"\1" * size
+                        self.words[first], self.joined[first] = (self.words[first][0], self.words[last][1]), 1
+                        edges[first + 1 : end] = bytes(end - first - 1)
+            at = text.find(base, stop)
+
+    def done(self) -> list[dict]:
+        out, n, size = [], 0, len(self.text)
+        while n < size:
+            end = self.edges.find(1, n + 1)
+            w, until = self.words[n]
+            if self.joined[n]:
+                own = [u for u, b in zip(self.units[n:end], self.borders[n:end]) if b]
+                w = {"text": self.text[n:end], "startTime": w["startTime"], "endTime": until, "syllables": own}
+            out.append(w)
+            n = end
+        return out
 
 
 class _Rules:
@@ -172,7 +201,7 @@ class _Rules:
                 ruby = parts(top[1], start, w["endTime"]) if top[1] else None
                 words[n] = {**w, "syllables": [{**{c: w[c] for c in ("text", "startTime", "endTime")}, "ruby": ruby}] if ruby else None}
         text = "".join(w["text"] or "" for w in words)
-        inside, again = {}, False
+        inside = {}
         for x in near:
             for size, own in x.items():
                 # whichever is less: the texts of this size in the line, or those that rules have
@@ -181,16 +210,38 @@ class _Rules:
                     for (reading, begin, until, free), ranks in own[base].items():
                         if free and first <= until + SLACK and last >= begin - SLACK:
                             inside[base, reading, begin, until] = ranks
-                            again |= len(ranks) > 1
         if inside:
-            reach = _Reach(words)
-            again = again and not reach.forward()
-            for _, _, rule in sorted((-len(rule[0]), rank, rule) for rule, ranks in inside.items() for rank in (ranks if again else ranks[:1])):
-                reach.put(*rule)
-            words = reach.words
+            even = _Even(words) if _Even.of(words) else None
+            # a rule that was not put on somewhere isn't put on there when it comes again, if time goes on
+            once = even and even.forward
+            for _, _, rule in sorted((-len(rule[0]), rank, rule) for rule, ranks in inside.items() for rank in (ranks[:1] if once else ranks)):
+                if even:
+                    even.put(*rule)
+                else:
+                    words = _reach_inside(words, *rule)
+            words = even.done() if even else words
         return {**line, "words": words} if whole or inside else line
 
 
+def _values(x: pa.Array) -> list:
+    """to_pylist, in much less time for texts, and for numbers without nulls."""
+    plain = pa.types.is_string(x.type) or (x.null_count == 0 and pa.types.is_floating(x.type))
+    return [None] * len(x) if x.null_count == len(x) else x.to_numpy(zero_copy_only=False).tolist() if plain else x.to_pylist()
+
+
+def _lines(lines: pa.StructArray) -> list[dict | None]:
+    """to_pylist, by columns."""
+    words = lines.field("words")
+    each = words.flatten()
+    if each.null_count or lines.null_count:
+        return lines.to_pylist()
+    every = [{"text": t, "startTime": a, "endTime": b, "syllables": s} for t, a, b, s in zip(*[_values(each.field(c)) for c in ("text", "startTime", "endTime", "syllables")])]
+    ends = list(accumulate(words.value_lengths().fill_null(0).to_pylist()))
+    own = [every[a:b] if known else None for a, b, known in zip([0, *ends], ends, words.is_valid().to_pylist())]
+    rest = [f.name for f in lines.type if f.name != "words"]
+    return [dict(zip((*rest, "words"), x)) for x in zip(*[_values(lines.field(c)) for c in rest], own)]
+
+
 def _steps(begin: Column, end: Column) -> Column:
     return F.sequence(F.floor((begin - SLACK) / STEP), F.floor((end + SLACK) / STEP))
 
@@ -241,18 +292,21 @@ def annotated(lines: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         for batch in batches:
-            line = batch.column("line")
-            for n, (k, *rule) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_kind", "_rank", "_base", "_reading", "_begin", "_until", "_sung")])):
-                if k == 3:
-                    x = line[n].as_py()
-                    rows.append(n)
-                    done.append(song.over(x) if x and x["words"] and (song.ever or song.near) else x)
-                    if len(done) == AT_ONCE:
+            rules = list(zip(*[_values(batch.column(c)) for c in ("_rank", "_base", "_reading", "_begin", "_until", "_sung")]))
+            kinds, line = batch.column("_kind").to_numpy(), batch.column("line")
+            # where another kind begins, and where a task has as many lines as it holds
+            cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+            for a, b in ((x, min(x + AT_ONCE, z)) for y, z in zip(cuts, cuts[1:]) for x in range(y, z, AT_ONCE)):
+                if kinds[a] == 3:
+                    rows += range(a, b)
+                    done += [song.over(x) if x and x["words"] and (song.ever or song.near) else x for x in _lines(line.slice(a, b - a))]
+                    if len(done) >= AT_ONCE:
                         yield flush(batch)
-                elif k == 2:
-                    song.add(*rule)
-                elif k == 1:
-                    song.spent.add(rule[0])
+                elif kinds[a] == 2:
+                    for rule in rules[a:b]:
+                        song.add(*rule)
+                elif kinds[a] == 1:
+                    song.spent.update(rule[0] for rule in rules[a:b])
                 else:
                     song = _Rules()
             if done:

@@ -62,7 +62,7 @@ def _sung(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     word = lambda x, i: F.struct(x.alias("text"), at(i).alias("startTime"), at(i + 1).alias("endTime"), F.lit(None).alias("syllables"))
     line = F.struct(F.array_join("own", "").alias("fullText"), F.lit(None).alias("translation"), at(F.lit(0)).alias("startTime"), at(F.size("own")).alias("endTime"), F.transform("own", word).alias("words"))
     lines = own.select("conv_id", F.col("turn").alias("place"), line.cast(trees.LINE).alias("line"))
-    text = F.array_join(F.slice("own", 1, 20), "")
+    text = F.array_join("own", "")
     # one column, as inside the stretches the text would be put together anew for each
     stretch = F.when(F.length("text") >= 7, F.transform(F.sequence(F.lit(1), F.length("text") - 6, F.lit(7)), lambda i: F.substring("text", i, 2 + i % 3)))
     r = own.select("conv_id", "turn", text.alias("text")).select("conv_id", "turn", F.posexplode(stretch).alias("n", "base")).withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "n")))

@@ -193,3 +193,42 @@ def test_parts_of_a_song(spark, monkeypatch):
     assert len(got) == len(lines)
     for r in got:
         assert shape(r.line) == want[r.song, r.place], (r.song, r.place)
+
+
+def test_even_words_as_others():
+    """By places in the text the same comes out as by all borders, also where words have readings."""
+    dice, read = random.Random(13), 0
+    for _ in range(2000):
+        words, t = [], 0.0
+        for _ in range(dice.randrange(1, 9)):
+            text, end = "".join(dice.choices("ab", k=dice.randrange(1, 5))), t + dice.choice([0, 0.37, 40])
+            ruby = dice.choice([None, [], [{"text": "q", "startTime": t, "endTime": end}]])
+            cut = [x for x in (text[:2], text[2:]) if x]
+            words.append({"text": text, "startTime": t, "endTime": end, "syllables": dice.choice([None, None, [{"text": x, "startTime": t, "endTime": end, "ruby": ruby} for x in cut]])})
+            t = end
+        rules = [("".join(dice.choices("ab", k=k)), dice.choice(["x", "u[00:01:00]v"]), *dice.choice([(0.0, float("inf")), (3.0, 4.0)])) for k in (4, 3, 2, 2, 1)]
+        assert annotation._Even.of(words)
+        even, want = annotation._Even(words), list(words)
+        for r in rules:
+            even.put(*r)
+            want = annotation._reach_inside(want, *r)
+        assert even.done() == want
+        read += want != words
+    assert read > 1000
+
+
+def test_rules_of_whole_texts(spark, tmp_path):
+    from chronotext.plans import annotating
+
+    text = " ".join(f"{i:03d}wx" for i in range(150))
+    spark.createDataFrame([(1, 0, "user", text), (1, 1, "user", "ab"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    own = text.replace(" ", "")
+    bases = [own[i : i + 2 + (i + 1) % 3] for i in range(0, len(own) - 6, 7)]
+    rules = annotating._sung(spark, str(tmp_path))[1].collect()
+    assert [r.base for r in sorted(rules, key=lambda r: r["rank"])] == bases and len(bases) == 107
+    # every second rule holds for the first four seconds
+    filled = [(n, b, b.upper(), 0.0, 4.0 if n % 2 else float("inf")) for n, b in enumerate(bases)]
+    words = [(w, i * 0.37, (i + 1) * 0.37) for i, w in enumerate(text.split())]
+    joined, units = by_characters(words, filled)
+    got = {(r.conv_id, r.place): (r.n_words, r.n_readings) for r in annotating.annotated_lines(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (len(joined), sum(r != "" for *_, r in units)), (1, 1): (1, 0), (2, 0): (0, 0)}
