@@ -1,10 +1,10 @@
 """Timed lines (``trees.LINE``) with readings: put on by a song's rules, or built from units.
 
 A rule (rank, base, reading, begin, until) names a text and the time in which it is read so; its
-reading may hold stamps that count from the base's start. A song's lines are dealt in parts, in
-order of time, and a part's rules stream before its lines through one task; there lines meet
-rules by the text and by steps of time, so they don't meet in pairs. A task holds the rules that
-reach a part's time.
+reading may hold stamps that count from the base's start. A song of up to 64 lines is held with its
+rules; a longer one's lines are dealt in parts, in order of time, and the rules that reach a part's
+time stream before its lines through one task. There lines meet rules by the text and by steps of
+time, so they don't meet in pairs.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 from math import floor
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from chronotext.functions import trees
 STAMP = r"\[(\d+):(\d{2})[:.](\d{2,3})\]"
 #: Seconds by which a start may miss a rule's time (fixed value), and the steps by which both meet.
 SLACK, STEP = 0.001, 30.0
-#: Lines of a song that share a copy of its rules, and lines that a task holds as Python's values.
+#: Lines of a part of a song, which share a copy of its rules, and lines that a task holds as Python's values.
 PART, AT_ONCE = 64, 64
 
 
@@ -177,6 +179,23 @@ class _Rules:
         for x in found:
             x.setdefault(len(base), {}).setdefault(base, {}).setdefault(rule, []).append(rank)
 
+    @classmethod
+    def of(cls, rules: list[tuple], lines: list[dict | None]) -> _Rules:
+        """A whole song's; those of a moment that find their word in its lines are spent."""
+        self, rules = cls(), sorted(rules, key=lambda r: r[0])
+        if moments := [r for r in rules if r[5] and r[4] - r[3] < SLACK]:
+            starts: dict[str, list[float]] = {}
+            for w in (w for x in lines if x for w in x["words"] or []):
+                if w["startTime"] is not None:
+                    starts.setdefault(w["text"], []).append(w["startTime"])
+            self.spent.update(r[0] for r in moments if any(r[3] - SLACK <= t <= r[4] + SLACK for t in starts.get(r[1], [])))
+        for r in rules:
+            self.add(*r)
+        return self
+
+    def read(self, lines: list[dict | None]) -> list[dict | None]:
+        return [self.over(x) if x and x["words"] and (self.ever or self.near) else x for x in lines]
+
     def over(self, line: dict) -> dict:
         """The line with readings over whole words (none takes a word's readings away), then those inside
         words or across them, longest base first."""
@@ -262,17 +281,23 @@ def annotated(lines: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
     r = rules.where("base <> ''").select(*by, F.col("rank").alias("_rank"), F.col("base").alias("_base"), F.coalesce("reading", F.lit("")).alias("_reading"), F.coalesce(F.col("begin").cast("double"), F.lit(0.0)).alias("_begin"), F.coalesce(F.col("until").cast("double"), ever).alias("_until"), sung.alias("_sung"))
     r = r.where("_sung or _reading = ''")
 
-    # A song's lines in order of time, by parts, each with the rules of its time. All sides grow with the
-    # songs, so none goes through the driver.
+    known = reduce(and_, [F.col(c).isNotNull() for c in by])
+    r, sheet = r.where(known), lines.where(known)
+
+    # All sides grow with the songs, so none goes through the driver. Songs of one part are met where their
+    # lines lie; the lines of longer ones are dealt in order of time by parts, each with the rules of its time.
     times = lambda c, f: f(F.transform("line.words", lambda w: w[c]))
-    own = lines.withColumn("_from", times("startTime", F.array_min)).withColumn("_to", F.greatest("_from", times("startTime", F.array_max), times("endTime", F.array_max)))
-    own = own.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("_from", "_to")) - 1) / PART))
+    own = sheet.withColumn("_from", times("startTime", F.array_min)).withColumn("_to", F.greatest("_from", times("startTime", F.array_max), times("endTime", F.array_max)))
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("_from", "_to")) - 1
+    long = own.select(*by, "_from", "_to").withColumn("_number", number).where(F.col("_number") == PART).select(*by).hint("shuffle_hash")
+    short, r_short = sheet.join(long, by, "left_anti"), r.join(long, by, "left_anti")
+    own, r = own.join(long, by, "left_semi").withColumn("_part", F.floor(number / PART)), r.join(long, by, "left_semi")
     spans = own.groupBy(*by, "_part").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     met = spans.join(r.hint("merge"), by).where((F.col("_from") <= F.greatest("_begin", "_until") + SLACK) & (F.col("_to") >= F.col("_begin") - SLACK))
 
     # what is spent for a whole song; only songs with rules of a moment have their words looked up
     moments = r.where(F.col("_sung") & (F.col("_until") - F.col("_begin") < SLACK)).withColumn("step", F.explode(_steps(F.col("_begin"), F.greatest("_begin", "_until"))))
-    words = lines.select(*by, "line").join(moments.select(*by).distinct().hint("shuffle_hash"), by, "left_semi").select(*by, F.explode("line.words").alias("w")).select(*by, F.col("w.text").alias("_base"), F.col("w.startTime").alias("start"))
+    words = sheet.select(*by, "line").join(moments.select(*by).distinct().hint("shuffle_hash"), by, "left_semi").select(*by, F.explode("line.words").alias("w")).select(*by, F.col("w.text").alias("_base"), F.col("w.startTime").alias("start"))
     words = words.where("start is not null").withColumn("step", F.explode(_steps(F.col("start"), F.col("start"))))
     spent = words.join(moments.hint("merge"), [*by, "_base", "step"]).where((F.col("start") >= F.col("_begin") - SLACK) & (F.col("start") <= F.col("_until") + SLACK)).select(*by, "_rank").distinct()
 
@@ -282,6 +307,12 @@ def annotated(lines: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
         every = every.unionByName(kind(df, k), allowMissingColumns=True)
     arrow, at = to_arrow_schema(lines.schema), lines.columns.index("line")
 
+    def whole(song: pa.Table, rules: pa.Table) -> pa.Table:
+        rows = list(zip(*[_values(rules.column(c).combine_chunks()) for c in ("_rank", "_base", "_reading", "_begin", "_until", "_sung")]))
+        texts = _lines(song.column("line").combine_chunks()) if len(song) else []
+        done = _Rules.of(rows, texts).read(texts) if rows and texts else texts
+        return pa.Table.from_arrays([pa.array(done, f.type) if k == at else song.column(f.name).cast(f.type) for k, f in enumerate(arrow)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         song, rows, done = _Rules(), [], []
 
@@ -299,7 +330,7 @@ def annotated(lines: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
             for a, b in ((x, min(x + AT_ONCE, z)) for y, z in zip(cuts, cuts[1:]) for x in range(y, z, AT_ONCE)):
                 if kinds[a] == 3:
                     rows += range(a, b)
-                    done += [song.over(x) if x and x["words"] and (song.ever or song.near) else x for x in _lines(line.slice(a, b - a))]
+                    done += song.read(_lines(line.slice(a, b - a)))
                     if len(done) >= AT_ONCE:
                         yield flush(batch)
                 elif kinds[a] == 2:
@@ -312,7 +343,11 @@ def annotated(lines: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
             if done:
                 yield flush(batch)
 
-    return every.repartition(*by, "_part").sortWithinPartitions(*by, "_part", "_kind", "_rank").mapInArrow(run, lines.schema)
+    longer = every.repartition(*by, "_part").sortWithinPartitions(*by, "_part", "_kind", "_rank").mapInArrow(run, lines.schema)
+    # under other names, as both may come from one table
+    keys = {c: f"_key{k}" for k, c in enumerate(by)}
+    shorter = short.groupBy(*by).cogroup(r_short.withColumnsRenamed(keys).groupBy(*keys.values())).applyInArrow(whole, lines.schema)
+    return lines.where(~known).union(shorter).union(longer)
 
 
 def built(units: DataFrame, by: list[str]) -> DataFrame:

@@ -161,7 +161,7 @@ def test_rows_between_stages_are_lines_and_rules(spark):
     lines = [(song, place, line(*[(t, place * 60 + a, place * 60 + b) for t, a, b in words])) for song in range(5) for place in range(8)]
     rules = [(song, k, "abcdef"[k % 4 : k % 4 + 2 + k % 2], "x", *((None, None) if k % 3 else (k * 1.0, k + 4.0))) for song in range(5) for k in range(40)]
     df = annotation.annotated(spark.createDataFrame(lines, LINES), spark.createDataFrame(rules, RULES), ["song"])
-    # 605 rows; by pieces of the lines' texts there were 13515
+    # by pieces of the lines' texts there were 13515
     assert shuffled(spark, df) <= 4 * (len(lines) + len(rules))
 
 
